@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 # The blanks of the reference's script language (space, controls, no-break
 # spaces, line separators, byte order mark), as the inside of a character class.
 BLANKS = "\t\n\u000b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+BLANK_CHARACTERS = regex.sub(
+    "(.)-(.)", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), BLANKS
+)
 # Letters, digits and private-use characters make up a search token.
 WORD = r"[\p{L}\p{N}\p{Co}]+"
 
@@ -60,8 +63,8 @@ def phrase_terms(text: str, fold_accents: bool = True) -> list[str]:
 
 
 def strip_blanks(text: Column) -> Column:
-    """Trim every Unicode blank; Spark's own ``trim`` only knows the space."""
-    return F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    """Trim every Unicode blank; Spark's own default only trims the space."""
+    return F.btrim(text, F.lit(BLANK_CHARACTERS))
 
 
 def file_lines(content: Column) -> Column:

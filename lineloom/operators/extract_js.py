@@ -60,7 +60,7 @@ MEMBER = (
     rf"|set|accessor)\s+)*\*?\s*({NAME})\s*[?!]?\s*(?:[(<=:;}}]|$)"
 )
 REQUIRE = r"""=\s*require\(\s*(["'])([^"'\n]+)\1\s*\)\s*[,;]?\s*$"""
-IMPORT = r"""(?m)(?:^|;)\s*import\b[\w$*{},\s]*?(?:\bfrom\s*)?(["'])[^"'\n]*\1"""
+IMPORT = r"""(?m)(?:^|;)[ \t\r]*+import\b[\w$*{},\s]*?(?:\bfrom\s*)?(["'])[^"'\n]*\1"""
 WORTH_KEEPING = rf"""[(){{}}\[\];=:]|^\s*(?:export|function|class|const|let|var|async|abstract|static)\b|^\s*{NAME}\s*$"""
 
 
@@ -160,25 +160,31 @@ def _placed(files: DataFrame) -> DataFrame:
         F.last(F.when(F.col("depth") == k, F.col("tag")), ignorenulls=True).over(before).alias(f"block{k}")
         for k in range(MAX_DEPTH + 1)
     ]
-    return opened.select("*", F.array(*blocks).alias("blocks")).withColumn(
-        "around", F.slice("blocks", F.lit(1), F.greatest(F.col("depth"), F.lit(0)))
+    around = opened.select("*", *blocks).withColumns(
+        {
+            "kinds": F.concat_ws(
+                "",
+                *[F.when(F.col("depth") > k, F.substring(f"block{k}", 1, 1)) for k in range(MAX_DEPTH + 1)],
+            ),
+            "nearest": F.coalesce(
+                *[F.when(F.col("depth") == k + 1, F.col(f"block{k}")) for k in range(MAX_DEPTH + 1)]
+            ),
+        }
     )
+    known = F.col("depth").between(0, MAX_DEPTH + 1)
+    return around.withColumns(
+        {
+            # All blocks around are read / all but a class that is the nearest one.
+            "visible": known & F.col("kinds").rlike("^[FX]*$"),
+            "in_class": known & F.col("kinds").rlike("^[FX]*C$"),
+            "around": F.substring_index("nearest", ":", -1),
+        }
+    ).drop("kinds", "nearest", *[f"block{k}" for k in range(MAX_DEPTH + 1)])
 
 
 def _declarations() -> Column:
     """Symbol rows of one piece, as an array that is mostly empty."""
-    piece, depth, around = F.col("piece"), F.col("depth").cast("int"), F.col("around")
-    known = depth.between(0, MAX_DEPTH + 1)
-    visible = known & F.forall(around, lambda t: t.startswith("F:") | t.startswith("X:"))
-    nearest = F.when(depth > 0, F.try_element_at(around, depth))
-    scope = F.substring_index(nearest, ":", -1)
-    # Direct member of a class whose own statement is read.
-    member_of = F.when(
-        known
-        & nearest.startswith("C:")
-        & F.forall(F.slice(around, F.lit(1), F.greatest(depth - 1, F.lit(0))), lambda t: t.startswith("F:") | t.startswith("X:")),
-        scope,
-    )
+    piece, visible, scope = F.col("piece"), F.col("visible"), F.col("around")
 
     def row(name, kind, line, column, within):
         return F.struct(
@@ -213,13 +219,13 @@ def _declarations() -> Column:
     )
     named = F.regexp_extract("piece", MEMBER, 1)
     member = F.when(
-        F.col("starts") & member_of.isNotNull() & (named != ""),
+        F.col("starts") & F.col("in_class") & (named != ""),
         row(
             named,
             F.when(named == "constructor", "constructor").otherwise("method"),
             F.col("line"),
             F.col("offset") + indent,
-            member_of,
+            scope,
         ),
     )
     # Declarators of a list: what stands in brackets is dropped, the rest cut at commas.
@@ -253,9 +259,10 @@ def _declarations() -> Column:
 
 def script_symbols(files: DataFrame) -> DataFrame:
     """Functions, classes, members and variables of script files, with scope."""
-    return _placed(files).select(
-        "file_id", "project", "path", "language", F.inline(_declarations())
+    rows = _placed(files).filter(
+        (F.col("visible") | F.col("in_class")) & (F.col("starts") | (F.col("end") == "{"))
     )
+    return rows.select("file_id", "project", "path", "language", F.inline(_declarations()))
 
 
 def shown(value: Column) -> Column:
@@ -265,10 +272,6 @@ def shown(value: Column) -> Column:
 
 def _requires(files: DataFrame) -> DataFrame:
     piece = F.col("piece")
-    depth = F.col("depth").cast("int")
-    visible = depth.between(0, MAX_DEPTH + 1) & F.forall(
-        F.col("around"), lambda t: t.startswith("F:") | t.startswith("X:")
-    )
     parts = F.split(piece, ",")
     plain = F.when(
         piece.rlike(VARIABLE),
@@ -297,7 +300,7 @@ def _requires(files: DataFrame) -> DataFrame:
     )
     return (
         _placed(files)
-        .filter(F.col("starts") & visible & piece.rlike(r"=\s*require\("))
+        .filter(F.col("starts") & F.col("visible") & piece.rlike(r"=\s*require\("))
         .select("file_id", "project", "path", "language", F.inline(F.coalesce(plain, taken_apart)))
         .withColumn("import_type", F.lit("require"))
     )

@@ -12,13 +12,25 @@ from lineloom.operators.match import ALL_FIELDS, CONTENT, match_all
 from lineloom.plans.index import Index
 
 
+# Up to this many rows, the files chosen by a limit are sent to every task.
+BROADCAST_ROWS = 10_000
+
+
 def _first_matches(
     index: Index, query: str | DataFrame, fields: Sequence[str], limit: int, project: str | None
 ) -> DataFrame:
-    """The first matching files by project and path; file bodies are not read."""
+    """The first matching files by project and path; file bodies are not read.
+
+    Keys and names decide which files are shown; only then are the heads of those few
+    files picked up, so what is shuffled stays narrow.
+    """
     matches = match_all(index.postings, query_terms(query), fields) if isinstance(query, str) else query
-    files = for_project(index.files.drop("content"), project, index.projects)
-    return files.join(matches, "file_id", "left_semi").orderBy("project", "path").limit(limit)
+    names = for_project(index.files.select("file_id", "project", "path"), project, index.projects)
+    first = names.join(matches, "file_id", "left_semi").orderBy("project", "path").limit(limit)
+    chosen = first.select("file_id")
+    if limit <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    return index.files.drop("content").join(chosen, "file_id", "left_semi").orderBy("project", "path")
 
 
 def search_code(
