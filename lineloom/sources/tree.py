@@ -26,6 +26,12 @@ def _is_listed(name: str, excluded: tuple[str, ...]) -> bool:
     return not name.startswith(".") and name not in excluded
 
 
+def _leads_up(folder: str, name: str) -> bool:
+    """A link to one of its own parents, which would never end."""
+    here = os.path.realpath(folder) + os.sep
+    return here.startswith(os.path.join(os.path.realpath(os.path.join(folder, name)), ""))
+
+
 class _Folder(InputPartition):
     def __init__(self, project: str, root: str, folder: str, deep: bool):
         super().__init__((project, folder))
@@ -49,20 +55,18 @@ class _TreeReader(DataSourceReader):
                         entry.path
                         for folder in level
                         for entry in os.scandir(folder)
-                        if entry.is_dir() and _is_listed(entry.name, self.excluded)
+                        if entry.is_dir()
+                        and _is_listed(entry.name, self.excluded)
+                        and not _leads_up(folder, entry.name)
                     ]
         return found
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
         for folder, folders, names in os.walk(partition.folder, followlinks=True):
-            here = os.path.realpath(folder)
             folders[:] = sorted(
                 name
                 for name in folders
-                if partition.deep
-                and _is_listed(name, self.excluded)
-                # A link to one of its own parents would never end.
-                and not (here + os.sep).startswith(os.path.realpath(os.path.join(folder, name)) + os.sep)
+                if partition.deep and _is_listed(name, self.excluded) and not _leads_up(folder, name)
             )
             for name in sorted(names):
                 if name.startswith("."):
