@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores; a table with more splits than cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -29,7 +35,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("md")
     )
     return corpus_from_table(
-        table(spark, sf, "documents"),
+        spread(table(spark, sf, "documents")),
         path=text(F.col("source"), "/doc_", F.col("doc_id"), ".", extension),
         content=F.col("text"),
         project=F.col("source"),
@@ -157,7 +163,7 @@ LINK = r'<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)'
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """Web pages as files named by their address, without a project."""
     return corpus_from_table(
-        table(spark, sf, "pages"),
+        spread(table(spark, sf, "pages")),
         path=F.col("url"),
         content=F.col("html"),
         last_modified=F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60),

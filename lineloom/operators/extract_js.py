@@ -298,8 +298,10 @@ def _requires(files: DataFrame) -> DataFrame:
             )
         ),
     )
+    # Only files with such a call go through the windows.
+    calling = files.filter(F.contains(F.col("content"), F.lit("require")))
     return (
-        _placed(files)
+        _placed(calling)
         .filter(F.col("starts") & F.col("visible") & piece.rlike(r"=\s*require\("))
         .select("file_id", "project", "path", "language", F.inline(F.coalesce(plain, taken_apart)))
         .withColumn("import_type", F.lit("require"))
@@ -318,7 +320,7 @@ def _es_imports(files: DataFrame) -> DataFrame:
         lambda n: ~n.isin("", "type"),
     )
     return (
-        files.filter(F.col("language").isin(*LANGUAGES))
+        files.filter(F.col("language").isin(*LANGUAGES) & F.contains(F.col("content"), F.lit("import")))
         .select(
             "file_id",
             "project",

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from lineloom import schemas
 from lineloom.functions.paths import file_id
+from lineloom.operators.corpus import index_files
 from lineloom.operators.maintain import (
     TABLES,
     add_project,
@@ -121,6 +122,8 @@ def _write(df: DataFrame, path: str, table: str, segment: int, partitions: int |
         rows = rows.sortWithinPartitions("term", "file_id", "field", "pos")
     elif table != "files":
         rows = rows.hint("rebalance")
+    elif partitions:
+        rows = rows.repartition(partitions)
     rows.write.mode("overwrite").parquet(f"{path}/{table}/segment={segment}")
 
 
@@ -152,6 +155,32 @@ def write_index(index: Index, path: str, partitions: int | None = None) -> int:
     return segment
 
 
+def index_corpus(
+    corpus: DataFrame,
+    path: str,
+    projects: DataFrame | None = None,
+    fold_accents: bool = True,
+    partitions: int | None = None,
+) -> int:
+    """Index a whole corpus as a new base, the way to store a first index.
+
+    The files are written first and everything else is derived from that copy, so a
+    costly scan runs once. ``partitions`` spreads the files when the corpus comes in
+    fewer pieces than there are cores; a large corpus needs no such shuffle.
+    """
+    spark = corpus.sparkSession
+    started = datetime.now(timezone.utc)
+    segment = _last(read_runs(spark, path))[0] + 1
+    _write(index_files(corpus), path, "files", segment, partitions)
+    _write_derived(spark, path, segment, fold_accents, partitions)
+    if projects is not None:
+        _write(projects, path, "projects", segment)
+    counts = {t: _count(spark, path, t, segment) for t in ("files", "symbols", "imports")}
+    counts["indexed"] = counts.pop("files")
+    log_run(spark, path, segment, segment, started_at=started, **counts)
+    return segment
+
+
 def compact_index(spark: SparkSession, path: str, partitions: int | None = None) -> int:
     """Fold all segments of an index into one."""
     return write_index(read_index(spark, path), path, partitions)
@@ -187,7 +216,7 @@ def commit_changes(
     segment = last + 1
     touched = changes.select(file_id(F.col("project"), F.col("path")).alias("file_id")).distinct()
     _write(touched, path, "removed", segment)
-    _write(upserts_of(latest_changes(changes)), path, "files", segment)
+    _write(upserts_of(latest_changes(changes)), path, "files", segment, partitions)
     _write_derived(spark, path, segment, fold_accents, partitions)
     counts = {"indexed": _count(spark, path, "files", segment), **counts}
     counts |= {t: _count(spark, path, t, segment) for t in ("symbols", "imports")}
@@ -245,7 +274,7 @@ def reindex_all(
         changes = changes.unionByName(gone)
     touched = changes.select(file_id(F.col("project"), F.col("path")).alias("file_id"))
     _write(touched, path, "removed", segment)
-    _write(upserts_of(changes), path, "files", segment)
+    _write(upserts_of(changes), path, "files", segment, partitions)
     _write_derived(spark, path, segment, fold_accents, partitions)
     new = {
         t: spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}/segment={segment}") for t in ("symbols", "imports")
