@@ -188,8 +188,8 @@ def tokens(spark, sf):
     return words.groupBy(*PLACE, "term").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {o.DOC_POSTINGS} SELECT project, path, field, term, pos::INTEGER AS pos FROM postings")
-def build_index_postings(spark, sf):
+@query(f"WITH {o.DOC_POSTINGS} SELECT project, path, field, term, pos::INTEGER AS pos FROM postings", "build_postings")
+def all_postings(spark, sf):
     files = b.document_files(spark, sf)
     places = files.select("file_id", "path")
     return build_postings(files, fold_accents=False).join(places, "file_id").select(*PLACE, "field", "term", "pos")
@@ -459,7 +459,7 @@ KEPT = f"SELECT project, path, language, last_modified, length(content)::BIGINT
     (SELECT path FROM diff WHERE status IN ('skipped')) USING (path)) {KEPT} FROM after""")
 def apply_changes(spark, sf):
     index = b.document_index(spark, sf)
-    return _contents(maintain.refresh(index, b.scan(spark, sf), prune=True, fold_accents=False))
+    return _contents(maintain.refresh(index, b.scan(spark, sf), prune=True))
 
 
 @query(f"""WITH {o.DOCS}, {o.FEED}, gone AS (SELECT project, path, arg_max(action, (ts, seq)) AS last FROM (
@@ -483,7 +483,7 @@ def delete_files(spark, sf):
         )
     )
     last = maintain.latest_changes(unlinked).filter(F.col("action") == "unlink")
-    return _contents(maintain.apply_changes(b.document_index(spark, sf), last, fold_accents=False))
+    return _contents(maintain.apply_changes(b.document_index(spark, sf), last))
 
 
 @query(f"""WITH {o.PROJECTS} SELECT name, folder_path, 'indexed' AS status, file_count FROM projects

@@ -9,7 +9,7 @@ block open at each depth. All those windows share one partitioning and one sort.
 What a block does to the declarations inside it is its *tag*:
 
 * ``F:name``   body of a function declaration: read, scope is the name
-* ``X:export`` body of a default-exported function: read, scope is ``export``
+* ``X:export`` body of a default-exported function or arrow: read, scope is ``export``
 * ``C:name``   body of a class: only its direct members count
 * ``B``        any other block (``if``, arrow body, method, object, ...): not read
 
@@ -36,7 +36,7 @@ NAME = r"[A-Za-z_$][\w$]*"
 ELEMENT = (
     r"//[^\n]*"
     r"|/\*[\s\S]*?(?:\*/|\z)"
-    r"|(?<=[=(,:\[!&|?{};+\n]\s{0,8})/(?![*/])(?:[^/\[\n]++|\[[^\]\n]*+\])++/[a-z]*"
+    r"|(?<=[=(,:\[!&|?{;+]\s{0,8})/(?![*/])(?:[^/\[\n]++|\[[^\]\n]*+\])++/[a-z]*"
     r'|"[^"\n]*"'
     r"|'[^'\n]*'"
     r"|`[^`]*(?:`|\z)"
@@ -55,6 +55,9 @@ VARIABLE = rf"{EXPORT}(?:const(?!\s+enum\b)|let|var)\s+"
 ASSIGNED = (
     rf"^\s*({NAME})\s*=\s*(?:async\b\s*)?(?:function\b|\([^()]*\)\s*(?::[^=]*)?=>|{NAME}\s*=>)"
 )
+# A line that ends like this is carried on by the next one.
+CARRIED_ON = r"(?:=>|[=*/%&|^?:,.~]|(?<!\+)\+|(?<!-)-)\s*$"
+ARROW_BODY = r"=>\s*\{$"
 MEMBER = (
     r"^\s*(?:(?:public|private|protected|static|async|readonly|override|abstract|declare|get"
     rf"|set|accessor)\s+)*\*?\s*({NAME})\s*[?!]?\s*(?:[(<=:;}}]|$)"
@@ -127,12 +130,13 @@ def _placed(files: DataFrame) -> DataFrame:
             ).alias("depth"),
             F.coalesce(F.sum("brackets").over(before), F.lit(0)).alias("inside"),
             F.coalesce(F.lag("end").over(in_file), F.lit(";")).alias("previous"),
+            F.coalesce(F.lag(piece.rlike(CARRIED_ON)).over(in_file), F.lit(False)).alias("carried"),
         )
     )
 
     body = F.when(F.col("end") == "", piece).otherwise(F.expr("substring(piece, 1, length(piece) - 1)"))
     goes_on = F.trim(F.translate(body, "\t\r", "  ")).eqNullSafe("") | body.rlike(r"^\s*(?:extends|implements)\b")
-    starts = (F.col("inside") == 0) & (~goes_on | (F.col("previous") != ""))
+    starts = (F.col("inside") == 0) & ((~goes_on & ~F.col("carried")) | (F.col("previous") != ""))
     name_f, name_c = F.regexp_extract("piece", FUNCTION, 1), F.regexp_extract("piece", CLASS, 1)
     is_f, is_c = piece.rlike(FUNCTION), piece.rlike(CLASS)
     head = F.struct(
@@ -150,7 +154,7 @@ def _placed(files: DataFrame) -> DataFrame:
     is_open = F.col("end") == "{"
     own = F.when((F.col("inside") + F.col("brackets") == 0), F.col("head"))
     tag = (
-        F.when((own["kind"] == "F") & own["by_default"], "X:export")
+        F.when(own["by_default"] & ((own["kind"] == "F") | piece.rlike(ARROW_BODY)), "X:export")
         .when((own["kind"] == "F") & own["name"].isNotNull(), F.concat(F.lit("F:"), own["name"]))
         .when((own["kind"] == "C") & ~own["by_default"] & own["name"].isNotNull(), F.concat(F.lit("C:"), own["name"]))
         .otherwise("B")
@@ -315,7 +319,7 @@ def _es_imports(files: DataFrame) -> DataFrame:
     names = F.filter(
         F.transform(
             F.split(F.translate(clause, "{}", ",,"), ","),
-            lambda n: F.regexp_replace(text.strip_blanks(n), r"(?s)^type\s+(?=[\w$*])|^.*\bas\s+", ""),
+            lambda n: F.regexp_replace(text.strip_blanks(n), r"(?s)^.*\bas\s+|^type\s+(?=[\w$*])", ""),
         ),
         lambda n: ~n.isin("", "type"),
     )

@@ -89,7 +89,7 @@ def upserts_of(changes: DataFrame) -> DataFrame:
     )
 
 
-def apply_changes(index: Index, changes: DataFrame, fold_accents: bool = True) -> Index:
+def apply_changes(index: Index, changes: DataFrame) -> Index:
     """The index after a change feed ``(project, path, action, ts, seq, content)``.
 
     Rows of every touched file leave all tables; added and changed files come back
@@ -97,7 +97,7 @@ def apply_changes(index: Index, changes: DataFrame, fold_accents: bool = True) -
     """
     last = latest_changes(changes)
     touched = last.select(file_id(F.col("project"), F.col("path")).alias("file_id"))
-    fresh = index_of_files(upserts_of(last), fold_accents)
+    fresh = index_of_files(upserts_of(last), index.fold_accents)
     return index.with_tables(
         **{
             t: getattr(index, t).join(touched, "file_id", "left_anti").unionByName(getattr(fresh, t))
@@ -106,9 +106,9 @@ def apply_changes(index: Index, changes: DataFrame, fold_accents: bool = True) -
     )
 
 
-def refresh(index: Index, scan: DataFrame, prune: bool = False, fold_accents: bool = True) -> Index:
+def refresh(index: Index, scan: DataFrame, prune: bool = False) -> Index:
     """Re-index what a scan shows as new or changed; ``prune`` also drops what is gone."""
-    return apply_changes(index, changes_of_scan(scan, index.files, prune), fold_accents)
+    return apply_changes(index, changes_of_scan(scan, index.files, prune))
 
 
 def add_project(projects: DataFrame, folder: str, name: str | None = None) -> DataFrame:

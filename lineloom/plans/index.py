@@ -11,7 +11,10 @@ from lineloom.operators.postings import build_postings
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of ``lineloom.schemas``; ``projects`` and ``runs`` may be missing."""
+    """Tables of ``lineloom.schemas``; ``projects`` and ``runs`` may be missing.
+
+    ``fold_accents`` says how the postings were cut, so that query texts are cut alike.
+    """
 
     files: DataFrame
     symbols: DataFrame
@@ -19,6 +22,7 @@ class Index:
     postings: DataFrame
     projects: DataFrame | None = None
     runs: DataFrame | None = None
+    fold_accents: bool = True
 
     def with_tables(self, **tables: DataFrame) -> "Index":
         return replace(self, **tables)
@@ -31,6 +35,7 @@ def index_of_files(files: DataFrame, fold_accents: bool = True, **more: DataFram
         symbols=extract_symbols(files),
         imports=extract_imports(files),
         postings=build_postings(files, fold_accents),
+        fold_accents=fold_accents,
         **more,
     )
 

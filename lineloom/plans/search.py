@@ -24,7 +24,9 @@ def _first_matches(
     Keys and names decide which files are shown; only then are the heads of those few
     files picked up, so what is shuffled stays narrow.
     """
-    matches = match_all(index.postings, query_terms(query), fields) if isinstance(query, str) else query
+    matches = query
+    if isinstance(query, str):
+        matches = match_all(index.postings, query_terms(query, index.fold_accents), fields)
     names = for_project(index.files.select("file_id", "project", "path"), project, index.projects)
     first = names.join(matches, "file_id", "left_semi").orderBy("project", "path").limit(limit)
     chosen = first.select("file_id")

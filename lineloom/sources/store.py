@@ -41,6 +41,9 @@ SCHEMAS = {
     "removed": schemas.REMOVED,
     "projects": schemas.PROJECTS,
 }
+# Text behind one range of postings. Corpora of many terabytes are better indexed in
+# several runs, which keeps the number of ranges in one shuffle moderate.
+RANGE_BYTES = 256 << 20
 SEGMENT = T.StructField("segment", T.LongType())
 
 
@@ -79,8 +82,8 @@ def _table(spark: SparkSession, path: str, table: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def read_index(spark: SparkSession, path: str) -> Index:
-    """The index as of the last committed run.
+def read_index(spark: SparkSession, path: str, fold_accents: bool = True) -> Index:
+    """The index as of the last committed run; ``fold_accents`` as it was written.
 
     Only while there are segments after the base does a read check for replaced files;
     ``compact_index`` folds them in.
@@ -108,17 +111,21 @@ def read_index(spark: SparkSession, path: str) -> Index:
         **{name: table(name) for name in TABLES},
         projects=projects.filter(F.col("segment") == newest).drop("segment"),
         runs=runs,
+        fold_accents=fold_accents,
     )
 
 
 def _write(df: DataFrame, path: str, table: str, segment: int, partitions: int | None = None) -> None:
-    """Write one table of a segment, over whatever a failed run left there."""
+    """Write one table of a segment, over whatever a failed run left there.
+
+    ``partitions`` counts the ranges of postings, and spreads files that come in too few
+    pieces; symbols and imports are cut to even sizes at run time.
+    """
     rows = df.select(*SCHEMAS[table].names)
     if table == "postings":
         # By term, so a lookup opens few files; by file within a term, so that a term
         # found in every file is cut into many ranges.
-        keys = ["term", "file_id"]
-        rows = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+        rows = rows.repartitionByRange(partitions or 1, "term", "file_id")
         rows = rows.sortWithinPartitions("term", "file_id", "field", "pos")
     elif table != "files":
         rows = rows.hint("rebalance")
@@ -127,12 +134,19 @@ def _write(df: DataFrame, path: str, table: str, segment: int, partitions: int |
     rows.write.mode("overwrite").parquet(f"{path}/{table}/segment={segment}")
 
 
+def _ranges(spark: SparkSession, path: str, segment: int) -> int:
+    """Number of posting ranges for the stored files of a segment, by their size."""
+    files = spark.read.schema(schemas.FILES).parquet(f"{path}/files/segment={segment}")
+    size = files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
+    return max(-(-size // RANGE_BYTES), min(spark.sparkContext.defaultParallelism, size >> 20), 1)
+
+
 def _write_derived(spark: SparkSession, path: str, segment: int, fold_accents: bool, partitions: int | None) -> None:
     """Derive the other tables from the stored files of a segment."""
     files = spark.read.schema(schemas.FILES).parquet(f"{path}/files/segment={segment}")
     fresh = index_of_files(files, fold_accents)
     for table in ("symbols", "imports", "postings"):
-        _write(getattr(fresh, table), path, table, segment, partitions)
+        _write(getattr(fresh, table), path, table, segment, partitions or _ranges(spark, path, segment))
 
 
 def _count(spark: SparkSession, path: str, table: str, segment: int) -> int:
@@ -145,8 +159,9 @@ def write_index(index: Index, path: str, partitions: int | None = None) -> int:
     started = datetime.now(timezone.utc)
     last, _ = _last(read_runs(spark, path))
     segment = last + 1
-    for table in TABLES:
-        _write(getattr(index, table), path, table, segment, partitions)
+    _write(index.files, path, "files", segment, partitions)
+    for table in TABLES[1:]:
+        _write(getattr(index, table), path, table, segment, partitions or _ranges(spark, path, segment))
     if index.projects is not None:
         _write(index.projects, path, "projects", segment)
     counts = {t: _count(spark, path, t, segment) for t in ("files", "symbols", "imports")}
@@ -252,7 +267,7 @@ def reindex_all(
     counted as failed and left as they were. ``folders`` registers ``{project: folder}``.
     """
     started = datetime.now(timezone.utc)
-    index = read_index(spark, path)
+    index = read_index(spark, path, fold_accents)
     last, base = _last(index.runs)
     segment = last + 1
     good, bad = scan, None

@@ -196,8 +196,40 @@ const enough = 1;
     assert names == [("a", 4), ("b", 4), ("re", 5), ("t", 5), ("enough", 14)]
 
 
+def test_script_statements_over_several_lines(files):
+    text = """let total = 1 +
+  extra;
+const pick = x =>
+  x.y;
+i++
+class A {
+  sum = one +
+    two;
+  third = cond
+    ? four
+    : five;
+  pair = <B c={1} />;
+}
+export default async (a) => {
+  const kept = 1;
+  [1].map(x => {
+    const hidden = 2;
+  });
+}
+"""
+    assert [(n, k, at, scope) for n, k, at, _, scope in symbols(files, "a.js", text)] == [
+        ("total", "variable", 1, None),
+        ("pick", "variable", 3, None),
+        ("A", "class", 6, None),
+        ("sum", "method", 7, "A"),
+        ("third", "method", 9, "A"),
+        ("pair", "method", 12, "A"),
+        ("kept", "variable", 15, "export"),
+    ]
+
+
 def test_script_imports(files):
-    text = """import React, { useState as state, type Ref } from "react";
+    text = """import React, { useState as state, type Ref, type A as B } from "react";
 import * as path from 'path'
 import {
   one,
@@ -214,7 +246,7 @@ const none = require();
 """
     assert imports(files, "a.js", text) == sorted(
         [
-            ("react", "React, state, Ref", "import"),
+            ("react", "React, state, Ref, B", "import"),
             ("path", "path", "import"),
             ("./[id]/parts", "one, two", "import"),
             ("./types", "T", "import"),

@@ -162,6 +162,13 @@ def test_search(index):
     assert [r.project for r in search.search_code(index, "def", project="two").collect()] == ["two"]
 
 
+def test_accents(corpus):
+    rows = ("p", "a.py", "L'été à Genève"), ("p", "b.py", "ete")
+    for fold, want in ((True, ["a.py", "b.py"]), (False, ["a.py"])):
+        index = build_index(corpus(*rows), fold_accents=fold)
+        assert [r.path for r in search.search_code(index, "ÉTÉ").collect()] == want
+
+
 def test_context(index):
     rows = search.get_context(index, "handle").collect()
     assert [(r.kind, r.path, r.name, r.line) for r in rows] == [
