@@ -524,11 +524,22 @@ def actions_in(spark, sf):
 
 
 @query(f"""WITH {o.sessions("project, path", 2880)} SELECT project, path, start, max(ts) AS ts,
-  arg_max(action, (ts, seq)) AS action FROM sessions GROUP BY project, path, start""")
+  arg_max(action, (ts, seq)) AS action, max(ts) + INTERVAL 2880 MINUTE - INTERVAL 1 MICROSECOND AS settled
+  FROM sessions GROUP BY project, path, start""")
 def settle(spark, sf):
     return sessions.settle(b.feed(spark, sf), "2 days")
 
 
+@query(f"""WITH {o.sessions("project, path", 720)}, settled AS (SELECT project,
+    max(ts) + INTERVAL 720 MINUTE - INTERVAL 1 MICROSECOND AS t FROM sessions GROUP BY project, path, start),
+  gaps AS (SELECT *, CASE WHEN t > lag(t) OVER (PARTITION BY project ORDER BY t) + INTERVAL 1 HOUR THEN 1 ELSE 0
+    END AS opens FROM settled),
+  runs AS (SELECT *, sum(opens) OVER (PARTITION BY project ORDER BY t ROWS UNBOUNDED PRECEDING) AS nr FROM gaps)
+  SELECT project, min(t) AS start, max(t) AS last, count(*) AS paths FROM runs GROUP BY project, nr""")
+def debounce_settled(spark, sf):
+    return sessions.debounce_settled(b.feed(spark, sf), "12 hours", "1 hour")
+
+
 @query(f"WITH {o.FEED} SELECT project, action, count(*) AS changes, max(ts) AS latest FROM feed GROUP BY ALL")
 def change_stats(spark, sf):
     return feeds.change_stats(feeds.filter_feed(b.feed(spark, sf)))

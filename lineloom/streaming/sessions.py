@@ -83,9 +83,11 @@ def last_action(changes: DataFrame, gap: str = "1 second") -> DataFrame:
 
 
 def settle(changes: DataFrame, gap: str = "2 seconds", delay: str = "10 seconds") -> DataFrame:
-    """Each path once it has been quiet for ``gap``: ``(project, path, start, ts, action)``.
+    """Each path once it has been quiet for ``gap``:
+    ``(project, path, start, ts, action, settled)``.
 
-    ``ts`` is the time of the last change, ``action`` what it was.
+    ``ts`` is the time of the last change and ``action`` what it was. ``settled`` is the
+    last moment of the quiet time, an event time that later streaming steps can use.
     """
     if changes.isStreaming:
         return (
@@ -96,21 +98,38 @@ def settle(changes: DataFrame, gap: str = "2 seconds", delay: str = "10 seconds"
                 F.max("ts").alias("ts"),
                 F.max_by("action", F.struct("ts", "seq")).alias("action"),
             )
-            .select("project", "path", "start", "ts", "action")
+            .select("project", "path", "start", "ts", "action", F.window_time("session").alias("settled"))
         )
     slots = changes.groupBy("project", "path", _slot(gap).alias("slot")).agg(
         F.min("ts").alias("first"),
         F.max("ts").alias("last"),
         F.max(F.struct("ts", "seq", "action")).alias("newest"),
     )
+    settled = F.timestamp_micros(F.unix_micros("newest.ts") + _micros(gap) - 1)
     return (
         _sessions(slots, ["project", "path"], gap)
         .groupBy("project", "path", F.col("session").alias("start"))
         .agg(F.max("newest").alias("newest"))
-        .select("project", "path", "start", "newest.ts", "newest.action")
+        .select("project", "path", "start", "newest.ts", "newest.action", settled.alias("settled"))
     )
 
 
+def debounce_settled(
+    changes: DataFrame, quiet: str = "2 seconds", gap: str = "1 second", delay: str = "10 seconds"
+) -> DataFrame:
+    """Both waits in a row: paths first settle for ``quiet``, then the settled paths of a
+    project are gathered until none follows for ``gap``: ``(project, start, last, paths)``."""
+    settled = settle(changes, quiet, delay)
+    if changes.isStreaming:
+        return (
+            settled.groupBy("project", F.session_window("settled", gap).alias("session"))
+            .agg(F.min("settled").alias("start"), F.max("settled").alias("last"), F.count("*").alias("paths"))
+            .select("project", "start", "last", "paths")
+        )
+    times = settled.select("project", F.col("settled").alias("ts"))
+    return debounce(times, gap).withColumnRenamed("events", "paths")
+
+
 def actions_in(sessions: DataFrame, changes: DataFrame, gap: str) -> DataFrame:
     """The last change of each path in each given session, with all its columns.
 

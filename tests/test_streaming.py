@@ -89,6 +89,10 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     # The marker itself is still open, so only the sessions before it come out.
     assert tuples(run(sessions.debounce(stream, "1 second"), "debounced")) == tuples(sessions.debounce(batch, "1 second"))
     assert tuples(run(sessions.settle(stream, "2 seconds"), "settled")) == tuples(sessions.settle(batch, "2 seconds"))
+    # The second wait of the chain needs a later event to close; the markers do that.
+    write_feed(spark, path, closing(20_000), closing(30_000), closing(40_000))
+    chained = run(sessions.debounce_settled(stream, "2 seconds", "1 second"), "chained").filter("project <> 'end'")
+    assert tuples(chained) == tuples(sessions.debounce_settled(batch, "2 seconds", "1 second"))
     counts = tuples(run(feed.change_stats(stream), "counted", "complete"))
     assert counts == tuples(feed.change_stats(spark.read.schema(CHANGES).parquet(path)))
 
