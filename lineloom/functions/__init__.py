@@ -10,6 +10,7 @@ from lineloom.functions.text import (
     line_column,
     name_contains,
     name_starts_with,
+    phrase_terms,
     query_terms,
     snippet,
     snippet_head,
@@ -26,6 +27,7 @@ __all__ = [
     "line_column",
     "name_contains",
     "name_starts_with",
+    "phrase_terms",
     "query_terms",
     "relative_path",
     "snippet",

@@ -44,24 +44,19 @@ def tokens(text: Column, fold_accents: bool = True) -> Column:
     return F.regexp_extract_all(normalized(text, fold_accents), F.lit(WORD), F.lit(0))
 
 
-def query_terms(text: str, fold_accents: bool = True) -> list[str]:
-    """Distinct search tokens of a short query string, cut like the corpus."""
-    text = text.lower()
-    if fold_accents:
-        text = text.translate(str.maketrans(ACCENTED, PLAIN))
-        text = regex.sub(MARKS, "", text)
-    return list(dict.fromkeys(regex.findall(WORD, text)))
-
-
 def phrase_terms(text: str, fold_accents: bool = True) -> list[str]:
-    """Search tokens of a phrase, repeats kept."""
+    """Search tokens of a short query string, in order, cut like the corpus."""
     text = text.lower()
     if fold_accents:
-        text = text.translate(str.maketrans(ACCENTED, PLAIN))
-        text = regex.sub(MARKS, "", text)
+        text = regex.sub(MARKS, "", text.translate(str.maketrans(ACCENTED, PLAIN)))
     return regex.findall(WORD, text)
 
 
+def query_terms(text: str, fold_accents: bool = True) -> list[str]:
+    """Distinct search tokens of a short query string."""
+    return list(dict.fromkeys(phrase_terms(text, fold_accents)))
+
+
 def strip_blanks(text: Column) -> Column:
     """Trim every Unicode blank; Spark's own default only trims the space."""
     return F.btrim(text, F.lit(BLANK_CHARACTERS))

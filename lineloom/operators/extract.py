@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.functions import text
-from lineloom.operators.corpus import is_code
+from lineloom.operators.corpus import lines
 
 # The line patterns that define what is a symbol or an import.
 PATTERNS = {
@@ -149,12 +149,7 @@ def _select(rule_type: type, only: tuple[str, ...]) -> dict[str, list[Rule]]:
 def _scan(files: DataFrame, chosen: dict[str, list[Rule]], build) -> DataFrame:
     """Lines of the chosen languages with the rows each line gives in ``found``."""
     kept = ["file_id", "project", "path", "language"]
-    rows = (
-        files.filter(F.col("language").isin(*chosen))
-        .select(*kept, F.posexplode(text.file_lines(F.col("content"))).alias("at", "text"))
-        .select(*kept, (F.col("at") + 1).alias("line"), "text", text.strip_blanks(F.col("text")).alias("trimmed"))
-        .filter(is_code(F.col("trimmed")))
-    )
+    rows = lines(files.filter(F.col("language").isin(*chosen)).select(*kept, "content"))
     found = F.array_compact(
         F.array(*[build(language, rule) for language, rules in chosen.items() for rule in rules])
     )

@@ -3,8 +3,8 @@
 ``<path>/<table>/segment=<n>`` holds what run ``n`` wrote. A run adds rows and, in
 ``removed``, the keys of the files it replaces or deletes in earlier segments, so its
 cost follows the change and not the index. One row in ``<path>/runs``, appended last,
-makes a run visible; readers never see half of one, and a run that died is written over
-by the next. ``base`` in that row is the first segment that still counts: a full write
+makes a run visible; readers never see half of one, and what a failed run left behind is
+emptied by the next. ``base`` in that row is the first segment that still counts: a full write
 or a clear starts a new base. There is one writer at a time.
 """
 
@@ -82,6 +82,20 @@ def _table(spark: SparkSession, path: str, table: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _next_segment(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Segment for a new run, emptied of what a failed run left there, and the base so far."""
+    last, base = _last(read_runs(spark, path))
+    for table, schema in SCHEMAS.items():
+        try:
+            spark.read.schema(schema).parquet(f"{path}/{table}/segment={last + 1}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            _write(spark.createDataFrame([], schema), path, table, last + 1)
+    return last + 1, base
+
+
 def read_index(spark: SparkSession, path: str, fold_accents: bool = True) -> Index:
     """The index as of the last committed run; ``fold_accents`` as it was written.
 
@@ -157,8 +171,7 @@ def write_index(index: Index, path: str, partitions: int | None = None) -> int:
     """Write a whole index as a new base; gives its segment number."""
     spark = index.files.sparkSession
     started = datetime.now(timezone.utc)
-    last, _ = _last(read_runs(spark, path))
-    segment = last + 1
+    segment, _ = _next_segment(spark, path)
     _write(index.files, path, "files", segment, partitions)
     for table in TABLES[1:]:
         _write(getattr(index, table), path, table, segment, partitions or _ranges(spark, path, segment))
@@ -185,7 +198,7 @@ def index_corpus(
     """
     spark = corpus.sparkSession
     started = datetime.now(timezone.utc)
-    segment = _last(read_runs(spark, path))[0] + 1
+    segment, _ = _next_segment(spark, path)
     _write(index_files(corpus), path, "files", segment, partitions)
     _write_derived(spark, path, segment, fold_accents, partitions)
     if projects is not None:
@@ -203,10 +216,10 @@ def compact_index(spark: SparkSession, path: str, partitions: int | None = None)
 
 def clear_index(spark: SparkSession, path: str) -> None:
     """Empty files, symbols, imports and text index; projects stay."""
-    last, _ = _last(read_runs(spark, path))
+    segment, _ = _next_segment(spark, path)
     for table in TABLES:
-        _write(spark.createDataFrame([], SCHEMAS[table]), path, table, last + 1)
-    log_run(spark, path, last + 1, last + 1)
+        _write(spark.createDataFrame([], SCHEMAS[table]), path, table, segment)
+    log_run(spark, path, segment, segment)
 
 
 def commit_changes(
@@ -227,8 +240,7 @@ def commit_changes(
     runs = read_runs(spark, path)
     if run_id and not runs.filter(F.col("run_id") == run_id).isEmpty():
         return None
-    last, base = _last(runs)
-    segment = last + 1
+    segment, base = _next_segment(spark, path)
     touched = changes.select(file_id(F.col("project"), F.col("path")).alias("file_id")).distinct()
     _write(touched, path, "removed", segment)
     _write(upserts_of(latest_changes(changes)), path, "files", segment, partitions)
@@ -243,13 +255,13 @@ def remove_stored_project(spark: SparkSession, path: str, project: str) -> int:
     """Take a project, given by name or folder, out of a stored index."""
     started = datetime.now(timezone.utc)
     index = read_index(spark, path)
-    last, base = _last(index.runs)
+    segment, base = _next_segment(spark, path)
     name = F.broadcast(project_names(index.projects, project))
-    _write(index.files.join(name, "project", "left_semi"), path, "removed", last + 1)
+    _write(index.files.join(name, "project", "left_semi"), path, "removed", segment)
     rest = index.projects.join(name, F.col("name") == F.col("project"), "left_anti")
-    _write(rest, path, "projects", last + 1)
-    log_run(spark, path, last + 1, base, started_at=started)
-    return last + 1
+    _write(rest, path, "projects", segment)
+    log_run(spark, path, segment, base, started_at=started)
+    return segment
 
 
 def reindex_all(
@@ -268,8 +280,7 @@ def reindex_all(
     """
     started = datetime.now(timezone.utc)
     index = read_index(spark, path, fold_accents)
-    last, base = _last(index.runs)
-    segment = last + 1
+    segment, base = _next_segment(spark, path)
     good, bad = scan, None
     if "error" in scan.columns:
         bad = scan.filter(F.col("error").isNotNull()).select("project", "path")

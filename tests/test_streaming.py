@@ -97,6 +97,20 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert counts == tuples(feed.change_stats(spark.read.schema(CHANGES).parquet(path)))
 
 
+def test_running_counts(spark, tmp_path):
+    path = str(tmp_path / "feed")
+    write_feed(spark, path, events(30, 6))
+    query = feed.show_change_stats(feed.read_changes(spark, path), "running", "1 second")
+    try:
+        query.processAllAvailable()
+        assert spark.table("running").agg(F.sum("changes")).first()[0] == 30
+        write_feed(spark, path, events(20, 7))
+        query.processAllAvailable()
+        assert spark.table("running").agg(F.sum("changes")).first()[0] == 50
+    finally:
+        query.stop()
+
+
 def test_filter_feed(spark):
     kept = feed.filter_feed(spark.createDataFrame(events(60, 3), CHANGES)).select("path").distinct().collect()
     assert {r.path for r in kept} == {"a.py", "b.py", "c.js"}

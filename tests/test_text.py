@@ -23,7 +23,7 @@ def test_snippets(spark):
     text = "\n".join("abcdefgh")
     got = lambda line, n: value(spark, fn.snippet(F.lit(text), line, n))
     assert got(1, 3) == "a\nb\nc\nd\ne"
-    assert got(5, 1) == "d\ne\nf"
+    assert got(5, 1) == "d\ne\nf\ng"
     assert got(8, 2) == "f\ng\nh"
     assert got(20, 2) == ""
     assert value(spark, fn.snippet(F.lit("only"), 1, 3)) == "only"
