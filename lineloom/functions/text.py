@@ -104,7 +104,9 @@ def name_contains(text: Column, needle: str | Column, wildcards: bool = False) -
     """Case-insensitive substring test; ``wildcards`` lets ``%`` and ``_`` match freely."""
     needle = F.lit(needle) if isinstance(needle, str) else needle
     if wildcards:
-        return F.lower(text).like(F.concat(F.lit("%"), F.lower(needle), F.lit("%")))
+        # A character that no name has as the escape, so that a backslash stands for itself.
+        pattern = F.concat(F.lit("%"), F.lower(needle), F.lit("%"))
+        return F.like(F.lower(text), pattern, F.lit("\u0000"))
     return F.contains(F.lower(text), F.lower(needle))
 
 

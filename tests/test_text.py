@@ -46,6 +46,7 @@ def test_name_tests(spark):
     assert has("handleClick", "CLICK")
     assert not has("handleClick", "le%k")
     assert has("handleClick", "le%k", wildcards=True)
+    assert has("App\\User", "p\\u%r", wildcards=True)
     assert has("a_b", "_") and not has("ab", "_")
     assert value(spark, fn.name_starts_with(F.lit("HandleClick"), "handle"))
 
