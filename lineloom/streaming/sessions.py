@@ -3,7 +3,8 @@
 A quiet time of ``gap`` ends a session. In a batch the events are first folded into
 time slots one gap wide: two events of a slot can never be in different sessions, so
 this is exact, happens before the shuffle, and leaves one row per slot even of a project
-or file that makes up a large share of the feed. Only those rows are put in order.
+or file that makes up a large share of the feed. Only those rows are put in order, block
+of time by block of time.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+# Slots in one block of time.
+BLOCK_SLOTS = 100_000
+
+
 def _micros(gap: str) -> Column:
     epoch = "timestamp_seconds(0)"
     return F.expr(f"unix_micros({epoch} + interval {gap}) - unix_micros({epoch})")
@@ -23,15 +28,43 @@ def _slot(gap: str) -> Column:
 def _sessions(slots: DataFrame, keys: list[str], gap: str) -> DataFrame:
     """Slots ``(keys, slot, first, last)`` with the ``session`` (its first time) they are in.
 
-    Events exactly one gap apart are in the same session.
+    Events exactly one gap apart are in the same session. Slots are put in order within
+    blocks of time, and blocks, of which there are few, over a whole key: a busy key is
+    spread over as many tasks as it has blocks.
     """
-    in_order = W.partitionBy(*keys).orderBy("slot")
-    starts = F.coalesce(
-        F.unix_micros("first") > F.unix_micros(F.lag("last").over(in_order)) + _micros(gap), F.lit(True)
+    longer = lambda later, earlier: F.unix_micros(later) > F.unix_micros(earlier) + _micros(gap)
+    blocked = slots.withColumn("block", F.floor(F.col("slot") / BLOCK_SLOTS))
+    in_block = W.partitionBy(*keys, "block").orderBy("slot")
+    # Known here are the sessions that open after a pause inside the block.
+    local = blocked.withColumn(
+        "opens", F.when(longer(F.col("first"), F.lag("last").over(in_block)), F.col("first"))
+    ).withColumn(
+        "opened", F.last("opens", ignorenulls=True).over(in_block.rowsBetween(W.unboundedPreceding, 0))
+    )
+    blocks = local.groupBy(*keys, "block").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max("opens").alias("opens")
+    )
+    # The session at the start of a block is its own, or the last one opened before.
+    in_key = W.partitionBy(*keys).orderBy("block")
+    fresh = F.coalesce(longer(F.col("first"), F.lag("last").over(in_key)), F.lit(True))
+    heads = (
+        blocks.withColumn("own", F.when(fresh, F.col("first")))
+        .withColumn(
+            "before",
+            F.last(F.coalesce("opens", "own"), ignorenulls=True).over(
+                in_key.rowsBetween(W.unboundedPreceding, -1)
+            ),
+        )
+        .select(
+            *[F.col(k).alias(f"of_{k}") for k in keys],
+            F.col("block").alias("of_block"),
+            F.coalesce("own", "before").alias("head"),
+        )
     )
-    return slots.withColumn("opens", F.when(starts, F.col("first"))).withColumn(
-        "session", F.last("opens", ignorenulls=True).over(in_order.rowsBetween(W.unboundedPreceding, 0))
-    ).drop("opens")
+    same = F.col("block") == F.col("of_block")
+    for key in keys:
+        same &= F.col(key).eqNullSafe(F.col(f"of_{key}"))
+    return local.join(heads, same).select(*slots.columns, F.coalesce("opened", "head").alias("session"))
 
 
 def _project_slots(changes: DataFrame, gap: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lineloom.plans.index import build_index
@@ -40,7 +41,9 @@ def by_hand(rows, gap):
     return found
 
 
-def test_batch_sessions(spark):
+@pytest.mark.parametrize("block", [1, 3, 100_000])
+def test_batch_sessions(spark, monkeypatch, block):
+    monkeypatch.setattr(sessions, "BLOCK_SLOTS", block)
     rows = events(200, 1)
     changes = spark.createDataFrame(rows, CHANGES)
     want = by_hand(rows, 1.0)
