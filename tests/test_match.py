@@ -111,7 +111,9 @@ def test_contains_pairs(spark):
         salts=3,
     ).collect()
     assert len(rows) == len(set(rows))
-    assert {tuple(r) for r in rows} == {(n, v) for n in needles for v in values if n.lower() in v.lower()}
+    assert {tuple(r) for r in rows} == {
+        (n, v.lower()) for n in needles for v in values if n.lower() in v.lower()
+    }
 
 
 @pytest.fixture(scope="module")
