@@ -47,7 +47,11 @@ def main() -> None:
 
     def read(name, frame):
         frame().collect()
-        times[name] = min(once(name, lambda: frame().collect()) and times[name] for _ in range(3))
+        runs = []
+        for _ in range(3):
+            once(name, lambda: frame().collect())
+            runs.append(times[name])
+        times[name] = min(runs)
 
     def sink(name, frame):
         once(name, lambda: frame().write.format("noop").mode("overwrite").save())
@@ -60,9 +64,12 @@ def main() -> None:
         corpus_from_table(few, F.concat(item, "e"), F.col("text"), F.lit("p"), F.current_timestamp()), f"{work}/few"
     )
     warm_up = time.perf_counter() - warm_up
-    once("write_document_index", lambda: store.index_corpus(
-            b.documents(spark, SF), documents, b.projects(spark, SF), partitions=2 * int(CPUS)))
-    once("write_code_index", lambda: store.index_corpus(b.code(spark, SF), code, partitions=2 * int(CPUS)))
+    pieces = 2 * int(CPUS)
+    once(
+        "write_document_index",
+        lambda: store.index_corpus(b.documents(spark, SF), documents, b.projects(spark, SF), partitions=pieces),
+    )
+    once("write_code_index", lambda: store.index_corpus(b.code(spark, SF), code, partitions=pieces))
     docs, source = store.read_index(spark, documents), store.read_index(spark, code)
 
     read("search_code", lambda: search.search_code(docs, "for that this"))

@@ -159,8 +159,9 @@ def _write_derived(spark: SparkSession, path: str, segment: int, fold_accents: b
     """Derive the other tables from the stored files of a segment."""
     files = spark.read.schema(schemas.FILES).parquet(f"{path}/files/segment={segment}")
     fresh = index_of_files(files, fold_accents)
+    partitions = partitions or _ranges(spark, path, segment)
     for table in ("symbols", "imports", "postings"):
-        _write(getattr(fresh, table), path, table, segment, partitions or _ranges(spark, path, segment))
+        _write(getattr(fresh, table), path, table, segment, partitions)
 
 
 def _count(spark: SparkSession, path: str, table: str, segment: int) -> int:
@@ -173,8 +174,9 @@ def write_index(index: Index, path: str, partitions: int | None = None) -> int:
     started = datetime.now(timezone.utc)
     segment, _ = _next_segment(spark, path)
     _write(index.files, path, "files", segment, partitions)
+    partitions = partitions or _ranges(spark, path, segment)
     for table in TABLES[1:]:
-        _write(getattr(index, table), path, table, segment, partitions or _ranges(spark, path, segment))
+        _write(getattr(index, table), path, table, segment, partitions)
     if index.projects is not None:
         _write(index.projects, path, "projects", segment)
     counts = {t: _count(spark, path, t, segment) for t in ("files", "symbols", "imports")}
