@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lineloom.llm import bpe_codec, simhash
+from lineloom.llm import bpe_codec, license_templates, quality, simhash, token_prefix
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,9 +22,27 @@ def op6_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
     return bpe_codec.digests(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_license_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return license_templates.scan(_table(spark, sf, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality(_table(spark, sf, "documents"))
+
+
+def op8_token_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return token_prefix.token_counts(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_license_templates": op3_license_templates,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_quality": op7_quality,
+    "op8_token_prefix": op8_token_prefix,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_license_templates": license_templates.sql(),
+    "op7_quality": quality.SQL,
+}
