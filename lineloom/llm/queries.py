@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lineloom.llm import bpe_codec, license_templates, quality, simhash, token_prefix
+from lineloom.llm import bpe_codec, license_templates, line_windows, pfair, quality, simhash, token_prefix
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
+def op5_line_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return line_windows.line_report(_table(spark, sf, "documents"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
     return bpe_codec.digests(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,15 +38,24 @@ def op8_token_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return token_prefix.token_counts(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_pfair_mix(spark: SparkSession, sf: str) -> DataFrame:
+    placed = pfair.mixed(_table(spark, sf, "documents"))
+    return placed.select("doc_id", "source", "rank", "share", "slot")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_license_templates": op3_license_templates,
+    "op5_line_windows": op5_line_windows,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_quality": op7_quality,
     "op8_token_prefix": op8_token_prefix,
+    "op9_pfair_mix": op9_pfair_mix,
 }
 
 ORACLE: dict[str, str] = {
     "op3_license_templates": license_templates.sql(),
+    "op5_line_windows": line_windows.SQL,
     "op7_quality": quality.SQL,
+    "op9_pfair_mix": pfair.SQL,
 }
