@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lineloom.llm import bpe_codec, license_templates, line_windows, pfair, quality, simhash, token_prefix
+from lineloom.llm import bpe_codec, license_templates, line_windows, pfair, quality, simhash, token_prefix, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op9_pfair_mix(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "source", "rank", "share", "slot")
 
 
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_license_templates": op3_license_templates,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_token_prefix": op8_token_prefix,
     "op9_pfair_mix": op9_pfair_mix,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
