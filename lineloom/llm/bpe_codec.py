@@ -82,7 +82,7 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _groups(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str | None]]:
+def groups(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str | None]]:
     """Runs of texts of a few million characters, so that one batch of long texts stays small."""
     group, size = [], 0
     for text in texts:
@@ -107,7 +107,7 @@ def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         own = codec(path)
         for batch in batches:
             keys, at = batch.column(0), 0
-            for texts in _groups(batch.column(1).to_pylist()):
+            for texts in groups(batch.column(1).to_pylist()):
                 ids = [i.astype(np.int32) for i in own.encode(texts)]
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
@@ -151,7 +151,7 @@ def digests(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         names = np.array([str(i) for i in range(own.bpe.size)], object)
         for batch in batches:
             keys, at = batch.column(0), 0
-            for texts in _groups(batch.column(1).to_pylist()):
+            for texts in groups(batch.column(1).to_pylist()):
                 counts, id_hashes, text_hashes = [], [], []
                 for ids in own.encode(texts):
                     counts.append(len(ids))

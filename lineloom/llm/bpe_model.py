@@ -32,6 +32,7 @@ LATIN_SPLITS = {
 }
 
 FAR = np.iinfo(np.int64).max
+SLOT_BITS = 20
 
 
 def _byte_names() -> dict[str, int]:
@@ -82,7 +83,8 @@ class BpeModel:
         self._letter_tokens = np.array([self.plain[bytes([b])] for b in range(256)], np.int64)
         if self.end:
             self._letter_ends = np.array([self.ended[bytes([b])] for b in range(256)], np.int64)
-        self._known: dict[int, bool] = {}
+        self._slot_keys = np.full(1 << SLOT_BITS, -1, np.int64)
+        self._slot_answers = np.zeros(1 << SLOT_BITS, bool)
         self._reachable()
         self._build_trie()
         self.longest = max(map(len, [*self.plain, *self.ended]))
@@ -138,45 +140,60 @@ class BpeModel:
             for spelled in [s for s, t in spelling.items() if not fine[t]]:
                 del spelling[spelled]
 
-    def fits(self, left: int, right: int) -> bool:
-        """``stable`` for one pair, remembered."""
+    def fits_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``stable`` with a table of answers given before, one per slot."""
         key = left * self.size + right
-        known = self._known.get(key)
-        if known is None:
-            if len(self._known) > 400_000:
-                self._known.clear()
-            known = self._known[key] = self._fits(left, right)
-        return known
-
-    def _fits(self, x: int, y: int) -> bool:
-        rank, left, right, merges, size = self._rank_list, self._left_list, self._right_list, self.merges, self.size
-        x_used = y_used = 1 << 60
-        while True:
-            merge = merges.get(x * size + y)
-            if merge and merge[0] < x_used and merge[0] <= y_used:
-                return False
-            if rank[x] > rank[y]:
-                x_used, x = rank[x], right[x]
-            elif rank[y] >= 0:
-                y_used, y = rank[y], left[y]
-            else:
-                return True
-
-    @property
-    def _rank_list(self) -> list[int]:
-        return self._lists()[0]
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+        missing = np.flatnonzero(self._slot_keys[slot] != key)
+        out = self._slot_answers[slot]
+        if len(missing):
+            new, back = np.unique(key[missing], return_inverse=True)
+            answers = self.stable(new // self.size, new % self.size)
+            out[missing] = answers[back]
+            self._slot_keys[slot[missing]] = key[missing]
+            self._slot_answers[slot[missing]] = out[missing]
+            # Of several new keys of one slot the last written stays; its answer must be its own.
+            clash = missing[self._slot_keys[slot[missing]] != key[missing]]
+            self._slot_keys[slot[clash]] = -1
+        return out
 
-    @property
-    def _left_list(self) -> list[int]:
-        return self._lists()[1]
+    def fits(self, left: int, right: int) -> bool:
+        """``stable`` for one pair."""
+        return bool(self.fits_many(np.array([left], np.int64), np.array([right], np.int64))[0])
 
-    @property
-    def _right_list(self) -> list[int]:
-        return self._lists()[2]
+    def open_counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the encoding of every prefix of every word, by dynamic programming.
 
-    @lru_cache(1)
-    def _lists(self) -> tuple[list[int], list[int], list[int]]:
-        return self.rank.tolist(), self.left.tolist(), self.right.tolist()
+        Prefixes of the words lie one after another, the empty one first; a proper prefix counts as
+        text that goes on, the whole word as one that ends. From a prefix whose last token is known, every
+        token that may stand next gives the last token of a longer prefix; each prefix gets exactly one.
+        Returns the counts and the place of each word's whole.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(sizes)
+        stop, number = np.repeat(ends, sizes), np.repeat(np.arange(len(words)), sizes)
+        places, lengths, tokens = [], [], []
+        for length, at, token in self.found(letters, stop):
+            places.append(at)
+            lengths.append(np.full(len(at), length))
+            tokens.append(token)
+        if not places:
+            return np.zeros(len(words), np.int64), np.arange(len(words))
+        at, length, token = map(np.concatenate, (places, lengths, tokens))
+        depth = at - (ends - sizes)[number[at]]
+        order = np.argsort(depth, kind="stable")
+        begin, length, token, depth = (at + number[at])[order], length[order], token[order], depth[order]
+        last, counts = np.zeros(len(letters) + len(words), np.int64), np.zeros(len(letters) + len(words), np.int64)
+        cuts = np.flatnonzero(np.append(True, depth[1:] != depth[:-1]))
+        for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(depth)]):
+            start, reach, new = begin[low:high], length[low:high], token[low:high]
+            if depth[low]:
+                fine = self.fits_many(last[start], new)
+                start, reach, new = start[fine], reach[fine], new[fine]
+            last[start + reach] = new
+            counts[start + reach] = counts[start] + 1
+        return counts, ends + np.arange(len(words))
 
     def segments(self, text: str) -> list[str]:
         """The text cut at strings of special tokens, which stand as parts of their own."""

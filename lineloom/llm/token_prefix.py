@@ -13,9 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineloom.llm.bpe_codec import groups
 from lineloom.llm.bpe_model import BpeModel, model
 
+#: Words remembered in a worker; beyond, the store starts anew. Longer words are not kept.
 REMEMBERED = 300_000
+KEPT = 40
 
 
 def prefix_counts(bpe: BpeModel, word: bytes) -> list[int]:
@@ -48,17 +51,26 @@ class Counter:
         self.bpe = model(path)
         self.known: dict[str, int] = {}
 
-    def total(self, text: str | None) -> int:
-        """Tokens of the whole text; a null text has none."""
-        bpe, known, total = self.bpe, self.known, 0
-        for part in bpe.segments(text) if text else ():
-            words = bpe.words(part)
-            for word in set(words) - known.keys():
-                known[word] = 1 if word in bpe.special else prefix_counts(bpe, word.encode())[-1]
-            total += sum(map(known.__getitem__, words))
+    def totals(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each whole text; a null text has none."""
+        bpe, known = self.bpe, self.known
         if len(known) > REMEMBERED:
             known.clear()
-        return total
+        known |= dict.fromkeys(bpe.special, 1)
+        cut = [[w for part in bpe.segments(text) for w in bpe.words(part)] if text else [] for text in texts]
+        new = list(set().union(*cut) - known.keys())
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            counts, wholes = bpe.open_counts([w.encode() for w in part])
+            known.update(zip(part, counts[wholes].tolist()))
+        out = [sum(map(known.__getitem__, words)) for words in cut]
+        for word in new:
+            if len(word) > KEPT:
+                del known[word]
+        return out
+
+    def total(self, text: str | None) -> int:
+        return self.totals([text])[0]
 
     def prefixes(self, text: str | None) -> list[int]:
         """Tokens of each prefix, by characters of the normalised text, the empty one first.
@@ -114,7 +126,7 @@ def token_counts(
                 kept = [own.prefixes(t) for t in texts]
                 arrays += [pa.array([k[-1] for k in kept], pa.int64()), pa.array(kept, pa.list_(pa.int32()))]
             else:
-                arrays.append(pa.array([own.total(t) for t in texts], pa.int64()))
+                arrays.append(pa.array([n for group in groups(texts) for n in own.totals(group)], pa.int64()))
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n_bytes", "n_tokens", "prefix_tokens"][: len(arrays)])
 
     kind = documents.schema[id_col].dataType.simpleString()
