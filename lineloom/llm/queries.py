@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lineloom.llm import bpe_codec, license_templates, line_windows, pfair, quality, simhash, token_prefix, toxicity
+from lineloom.llm import bpe_codec, chat, license_templates, line_windows, pfair, quality, simhash, token_prefix, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +19,13 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf: str) -> DataFrame:
+    text = f"{chat.END}{chat.START}assistant ok"
+    more = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role")
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_rows(rows.unionByName(more.withColumn("text", F.lit(text)))))
+
+
 def op5_line_windows(spark: SparkSession, sf: str) -> DataFrame:
     return line_windows.line_report(_table(spark, sf, "documents"))
 
@@ -50,6 +58,7 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_license_templates": op3_license_templates,
+    "op4_chat": op4_chat,
     "op5_line_windows": op5_line_windows,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_quality": op7_quality,
@@ -60,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op3_license_templates": license_templates.sql(),
+    "op4_chat": chat.SQL,
     "op5_line_windows": line_windows.SQL,
     "op7_quality": quality.SQL,
     "op9_pfair_mix": pfair.SQL,
