@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import bpe_codec, chat, license_templates, line_windows, pfair, quality, simhash, token_prefix, toxicity
+from lineloom.llm import bpe_codec, chat, license_templates, line_windows, multi_index, pfair, quality, simhash, token_prefix, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
     return bpe_codec.digests(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_multi_index(spark: SparkSession, sf: str) -> DataFrame:
+    return multi_index.neighbours(_table(spark, sf, "embeddings"))
+
+
 def op3_license_templates(spark: SparkSession, sf: str) -> DataFrame:
     return license_templates.scan(_table(spark, sf, "documents"))
 
@@ -57,6 +61,7 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_multi_index": op2_multi_index,
     "op3_license_templates": op3_license_templates,
     "op4_chat": op4_chat,
     "op5_line_windows": op5_line_windows,
