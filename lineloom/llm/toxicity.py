@@ -62,10 +62,14 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
     Expectation and maximisation over the voters' firing rates per class. A voter that does not fire
     abstains; that none fires is the vote of one more voter. What two voters share beyond the class is
     their correlation within classes; a voter's evidence is divided by one plus the correlations it has.
+    The given labels ``start`` anchor the estimation as a voter that is right in 19 of 20 cases; the
+    posterior returned is that of the voters alone.
     """
     votes = np.hstack([votes, ~votes.any(1, keepdims=True)]).astype(float)
-    post = np.clip(start.astype(float), 0.001, 0.999)
+    label = np.log(19) * (2 * start.astype(float) - 1)
+    odds = 2 * label
     for _ in range(rounds):
+        post = 1 / (1 + np.exp(-np.clip(odds + label, -30, 30)))
         on = (votes * post[:, None]).sum(0) + 0.5
         off = (votes * (1 - post)[:, None]).sum(0) + 0.05
         p, q = on / (post.sum() + 1), off / ((1 - post).sum() + 1)
@@ -74,8 +78,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
         shared = np.clip((rest.T @ rest) / len(votes) / np.outer(spread, spread), 0, 1)
         np.fill_diagonal(shared, 1)
         odds = np.log(prior / (1 - prior)) + votes @ (np.log(p / q) / shared.sum(1))
-        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return post
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
 def linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2e-6, rounds: int = 25) -> np.ndarray:
