@@ -15,11 +15,9 @@ What a block does to the declarations inside it is its *tag*:
 
 Columns are 0-based for these languages, as in the reference.
 
-Known differences to a full syntax tree: files with syntax errors are still read;
-declarators after a line break or after a nested template are missed; a name on a later
-line than its keyword is missed; JSX text with lone brackets or braces can hide what
-follows; an object type as return type ends the function; more than 8 nested functions
-are not read.
+Known differences to a full syntax tree: files with syntax errors are still read; a name
+on a later line than its keyword is missed, and so is what follows a template inside a
+template; JSX text with lone brackets or braces can hide what follows.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -29,14 +27,18 @@ from pyspark.sql import functions as F
 from lineloom.functions import text
 
 LANGUAGES = ("javascript", "typescript")
-MAX_DEPTH = 8
 
 NAME = r"[A-Za-z_$][\w$]*"
+# What a regex literal may stand after; its slash is a division after anything else.
+BEFORE_REGEX = (
+    r"(?:\A|[=(,:\[!&|?{;+~^%<>*-]|(?<![\w$.])(?:return|typeof|instanceof|case|in|of|new|void|delete"
+    r"|await|yield|throw|do|else)(?![\w$]))"
+)
 # One alternative per lexical element; what is left over is taken one character at a time.
 ELEMENT = (
     r"//[^\n]*"
     r"|/\*[\s\S]*?(?:\*/|\z)"
-    r"|(?<=[=(,:\[!&|?{;+]\s{0,8})/(?![*/])(?:[^/\[\n]++|\[[^\]\n]*+\])++/[a-z]*"
+    rf"|[^/\"'`]*?{BEFORE_REGEX}\s*+/(?![*/])(?:[^/\[\n]++|\[[^\]\n]*+\])++/[a-z]*"
     r'|"[^"\n]*"'
     r"|'[^'\n]*'"
     r"|`[^`]*(?:`|\z)"
@@ -74,12 +76,11 @@ def masked(content: Column) -> Column:
     return F.array_join(
         F.transform(
             F.regexp_extract_all(plain, F.lit(ELEMENT), F.lit(0)),
-            lambda part: F.when(
-                part.startswith("`") | (part.startswith("/") & (F.length(part) > 1)), blank(part)
-            )
-            .when(
-                (part.startswith("'") | part.startswith('"')) & (F.length(part) > 1),
-                F.translate(part, STRUCTURE, HIDDEN),
+            lambda part: F.when(part.startswith("`"), blank(part))
+            .when(part.startswith("'") | part.startswith('"'), F.when(F.length(part) > 1, F.translate(part, STRUCTURE, HIDDEN)).otherwise(part))
+            .when(  # a comment, or code up to a regex literal and the literal
+                F.contains(part, F.lit("/")) & (F.length(part) > 1),
+                F.concat(F.substring_index(part, "/", 1), blank(F.substr(part, F.locate("/", part)))),
             )
             .otherwise(part),
         ),
@@ -112,7 +113,6 @@ def _placed(files: DataFrame) -> DataFrame:
     """Pieces with column, depths, the head of their statement and the blocks around."""
     in_file = W.partitionBy("file_id").orderBy("line", "part")
     before = in_file.rowsBetween(W.unboundedPreceding, -1)
-    through = in_file.rowsBetween(W.unboundedPreceding, 0)
     in_line = W.partitionBy("file_id", "line").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
 
     piece = F.col("piece")
@@ -131,12 +131,16 @@ def _placed(files: DataFrame) -> DataFrame:
             F.coalesce(F.sum("brackets").over(before), F.lit(0)).alias("inside"),
             F.coalesce(F.lag("end").over(in_file), F.lit(";")).alias("previous"),
             F.coalesce(F.lag(piece.rlike(CARRIED_ON)).over(in_file), F.lit(False)).alias("carried"),
+            F.coalesce(F.lag(piece.rlike(r",\s*$")).over(in_file), F.lit(False)).alias("after_comma"),
         )
     )
 
     body = F.when(F.col("end") == "", piece).otherwise(F.expr("substring(piece, 1, length(piece) - 1)"))
-    goes_on = F.trim(F.translate(body, "\t\r", "  ")).eqNullSafe("") | body.rlike(r"^\s*(?:extends|implements)\b")
-    starts = (F.col("inside") == 0) & ((~goes_on & ~F.col("carried")) | (F.col("previous") != ""))
+    blank = F.trim(F.translate(body, "\t\r", "  ")).eqNullSafe("")
+    goes_on = blank | body.rlike(r"^\s*(?:extends|implements)\b")
+    # A lone opening brace after a closing one is the body after an object type.
+    after_type = blank & (F.col("end") == "{") & (F.col("previous") == "}")
+    starts = (F.col("inside") == 0) & ((~goes_on & ~F.col("carried")) | ((F.col("previous") != "") & ~after_type))
     name_f, name_c = F.regexp_extract("piece", FUNCTION, 1), F.regexp_extract("piece", CLASS, 1)
     is_f, is_c = piece.rlike(FUNCTION), piece.rlike(CLASS)
     head = F.struct(
@@ -146,44 +150,73 @@ def _placed(files: DataFrame) -> DataFrame:
         piece.rlike(r"^\s*export\b").alias("exported"),
         F.col("line").alias("line"),
         (F.col("offset") + F.length(F.regexp_extract("piece", r"^\s*(?:export\s+(?:default\s+)?)?", 0))).alias("column"),
+        piece.rlike(VARIABLE).alias("variable"),
     )
-    headed = started.withColumn("starts", starts).withColumn(
-        "head", F.last(F.when(F.col("starts"), head), ignorenulls=True).over(through)
+    # The statement that a piece belongs to, among those of its depth; a list of declarators
+    # goes on after a comma, also after a block.
+    at_depth = W.partitionBy("file_id", "depth").orderBy("line", "part").rowsBetween(W.unboundedPreceding, 0)
+    comma = (F.col("inside") == 0) & (piece.rlike(r"^\s*,") | F.col("after_comma"))
+    headed = started.withColumns({"starts": starts, "comma": comma}).withColumns(
+        {
+            "head": F.last(F.when(F.col("starts"), head), ignorenulls=True).over(at_depth),
+            "list": F.last(F.when(F.col("starts") & ~F.col("comma"), head), ignorenulls=True).over(at_depth),
+        }
     )
 
     is_open = F.col("end") == "{"
     own = F.when((F.col("inside") + F.col("brackets") == 0), F.col("head"))
     tag = (
-        F.when(own["by_default"] & ((own["kind"] == "F") | piece.rlike(ARROW_BODY)), "X:export")
+        F.when((own["kind"] == "F") & piece.rlike(r":\s*\{$"), "B")
+        .when(own["by_default"] & ((own["kind"] == "F") | piece.rlike(ARROW_BODY)), "X:export")
         .when((own["kind"] == "F") & own["name"].isNotNull(), F.concat(F.lit("F:"), own["name"]))
         .when((own["kind"] == "C") & ~own["by_default"] & own["name"].isNotNull(), F.concat(F.lit("C:"), own["name"]))
         .otherwise("B")
     )
-    opened = headed.withColumn("tag", F.when(is_open, tag))
-    blocks = [
-        F.last(F.when(F.col("depth") == k, F.col("tag")), ignorenulls=True).over(before).alias(f"block{k}")
-        for k in range(MAX_DEPTH + 1)
-    ]
-    around = opened.select("*", *blocks).withColumns(
-        {
-            "kinds": F.concat_ws(
-                "",
-                *[F.when(F.col("depth") > k, F.substring(f"block{k}", 1, 1)) for k in range(MAX_DEPTH + 1)],
-            ),
-            "nearest": F.coalesce(
-                *[F.when(F.col("depth") == k + 1, F.col(f"block{k}")) for k in range(MAX_DEPTH + 1)]
-            ),
-        }
+    # Every piece asks at its depth for the block around it; an opening brace answers one deeper.
+    asks = F.struct(F.col("depth").alias("level"), F.lit(False).alias("answers"))
+    answers = F.when(is_open, F.struct((F.col("depth") + 1).alias("level"), F.lit(True).alias("answers")))
+    at_level = W.partitionBy("file_id", "level").orderBy("line", "part").rowsBetween(W.unboundedPreceding, -1)
+    around = (
+        headed.withColumn("tag", F.when(is_open, tag))
+        .select("*", F.inline(F.array_compact(F.array(asks, answers))))
+        .withColumn("nearest", F.last(F.when(F.col("answers"), F.col("tag")), ignorenulls=True).over(at_level))
+        .filter(~F.col("answers"))
     )
-    known = F.col("depth").between(0, MAX_DEPTH + 1)
-    return around.withColumns(
+    # Blocks that are not read and still open: none of them may be around what is read.
+    unread = lambda tag: (~F.substring(tag, 1, 1).isin("F", "X")).cast("int")
+    change = F.when(is_open, unread(F.col("tag"))).when(F.col("end") == "}", -F.coalesce(unread(F.col("nearest")), F.lit(0)))
+    hidden = F.coalesce(F.sum(F.coalesce(change, F.lit(0))).over(before), F.lit(0))
+    return around.withColumn("hidden", hidden).withColumns(
         {
             # All blocks around are read / all but a class that is the nearest one.
-            "visible": known & F.col("kinds").rlike("^[FX]*$"),
-            "in_class": known & F.col("kinds").rlike("^[FX]*C$"),
-            "around": F.substring_index("nearest", ":", -1),
+            "visible": (F.col("depth") >= 0) & (F.col("hidden") == 0),
+            "in_class": (F.col("depth") >= 0) & (F.col("hidden") == 1) & F.coalesce(F.col("nearest").startswith("C"), F.lit(False)),
+            "around": F.when(F.col("depth") > 0, F.substring_index("nearest", ":", -1)),
         }
-    ).drop("kinds", "nearest", *[f"block{k}" for k in range(MAX_DEPTH + 1)])
+    ).drop("nearest", "level", "answers", "hidden")
+
+
+def _declarators() -> Column:
+    """Parts of a list of declarators that a piece has: cut at commas outside of brackets; else null.
+
+    What goes on with a declarator of an earlier line is no part: a digit in front makes it no name.
+    """
+    piece = F.col("piece")
+    flat = F.when(F.col("starts") & piece.rlike(VARIABLE), F.regexp_replace("piece", VARIABLE, "")).when(
+        F.col("list.variable"),
+        F.when(F.col("comma"), F.regexp_replace("piece", r"^\s*,", "")).when(~F.col("starts"), F.concat(F.lit("0"), "piece")),
+    )
+    depth = F.when(F.col("starts"), 0).otherwise(F.col("inside")).cast("int")
+    nothing = F.struct(depth.alias("depth"), F.array().cast("array<string>").alias("kept"))
+    return F.aggregate(
+        F.split(flat, ","),
+        nothing,
+        lambda so_far, part: F.struct(
+            (so_far["depth"] + _count(part, "([") - _count(part, ")]")).alias("depth"),
+            F.when(so_far["depth"] == 0, F.concat(so_far["kept"], F.array(part))).otherwise(so_far["kept"]).alias("kept"),
+        ),
+        lambda so_far: so_far["kept"],
+    )
 
 
 def _declarations() -> Column:
@@ -207,7 +240,8 @@ def _declarations() -> Column:
         & (F.col("end") == "{")
         & (F.col("inside") + F.col("brackets") == 0)
         & head["kind"].isin("F", "C")
-        & head["name"].isNotNull(),
+        & head["name"].isNotNull()
+        & ~((head["kind"] == "F") & piece.rlike(r":\s*\{$")),
         row(
             head["name"],
             F.when(head["kind"] == "F", "function").otherwise("class"),
@@ -232,19 +266,15 @@ def _declarations() -> Column:
             scope,
         ),
     )
-    # Declarators of a list: what stands in brackets is dropped, the rest cut at commas.
-    flat = F.regexp_replace("piece", VARIABLE, "")
-    for _ in range(3):
-        flat = F.regexp_replace(flat, r"\([^()]*\)|\[[^\[\]]*\]", " ")
     names = F.filter(
         F.transform(
-            F.split(flat, ","),
+            _declarators(),
             lambda part: F.regexp_extract(part, rf"^\s*({NAME})\s*(?:[?!]?:|=(?!>)|[;{{}}]|$)", 1),
         ),
         lambda name: name != "",
     )
     variables = F.when(
-        F.col("starts") & visible & piece.rlike(VARIABLE),
+        visible & names.isNotNull(),
         F.transform(
             names,
             lambda name: row(
@@ -252,9 +282,9 @@ def _declarations() -> Column:
                 F.lit("variable"),
                 F.col("line"),
                 F.col("offset")
-                + F.regexp_instr(piece, F.concat(F.lit(r"(?<=[\s,])\Q"), name, F.lit(r"\E(?![\w$])")))
+                + F.regexp_instr(piece, F.concat(F.lit(r"(?<![\w$.])\Q"), name, F.lit(r"\E(?![\w$])")))
                 - 1,
-                export_scope(piece.rlike(r"^\s*export\b")),
+                export_scope(F.coalesce(F.when(~F.col("starts") | F.col("comma"), F.col("list.exported")), piece.rlike(r"^\s*export\b"))),
             ),
         ),
     ).otherwise(F.array().cast("array<struct<name:string,type:string,line:int,column:int,scope:string>>"))
@@ -264,7 +294,7 @@ def _declarations() -> Column:
 def script_symbols(files: DataFrame) -> DataFrame:
     """Functions, classes, members and variables of script files, with scope."""
     rows = _placed(files).filter(
-        (F.col("visible") | F.col("in_class")) & (F.col("starts") | (F.col("end") == "{"))
+        (F.col("visible") | F.col("in_class")) & (F.col("starts") | F.col("list.variable") | (F.col("end") == "{"))
     )
     return rows.select("file_id", "project", "path", "language", F.inline(_declarations()))
 
@@ -276,22 +306,15 @@ def shown(value: Column) -> Column:
 
 def _requires(files: DataFrame) -> DataFrame:
     piece = F.col("piece")
-    parts = F.split(piece, ",")
-    plain = F.when(
-        piece.rlike(VARIABLE),
-        F.filter(
-            F.transform(
-                parts,
-                lambda part: F.struct(
-                    shown(F.regexp_extract(part, REQUIRE, 2)).alias("import_path"),
-                    F.nullif(
-                        F.regexp_extract(F.regexp_replace(part, VARIABLE, ""), rf"^\s*({NAME})\s*[:=]", 1),
-                        F.lit(""),
-                    ).alias("import_name"),
-                ),
+    plain = F.filter(
+        F.transform(
+            _declarators(),
+            lambda part: F.struct(
+                shown(F.regexp_extract(part, REQUIRE, 2)).alias("import_path"),
+                F.nullif(F.regexp_extract(part, rf"^\s*({NAME})\s*[:=]", 1), F.lit("")).alias("import_name"),
             ),
-            lambda found: found["import_path"] != "",
         ),
+        lambda found: found["import_path"] != "",
     )
     taken_apart = F.when(
         piece.rlike(r"^\s*" + REQUIRE) & (F.col("previous") == "}"),
@@ -306,8 +329,8 @@ def _requires(files: DataFrame) -> DataFrame:
     calling = files.filter(F.contains(F.col("content"), F.lit("require")))
     return (
         _placed(calling)
-        .filter(F.col("starts") & F.col("visible") & piece.rlike(r"=\s*require\("))
-        .select("file_id", "project", "path", "language", F.inline(F.coalesce(plain, taken_apart)))
+        .filter((F.col("starts") | F.col("list.variable")) & F.col("visible") & piece.rlike(r"=\s*require\("))
+        .select("file_id", "project", "path", "language", F.inline(F.when(F.size(plain) > 0, plain).otherwise(taken_apart)))
         .withColumn("import_type", F.lit("require"))
     )
 

@@ -282,3 +282,31 @@ def test_registered_rules(files):
         assert imports(files, "a.go", text) == [("net/http", "http", "import")]
     finally:
         del extract.RULES["go"]
+
+
+def test_script_shapes_without_bounds(files):
+    """Deep nesting, wide gaps, regex after keywords, lists over lines, object types."""
+    deep = "".join(f"{'  ' * i}function f{i}() {{\n" for i in range(13)) + "const inner = 1;\n" + "}\n" * 13
+    cases = {
+        "deep.js": (deep, [(f"f{i}", f"f{i - 1}" if i else None) for i in range(13)] + [("inner", "f12")]),
+        "gap.js": ("const r =          /[{]/;\nfunction two() {}\n", [("r", None), ("two", None)]),
+        "nest.js": ("const a = f(g(h(i(1))), q = 3), z = [1, [2, k = 3]];\n", [("a", None), ("z", None)]),
+        "word.js": (
+            "function one(s) { return /[{]/.test(s); }\nfunction two() { const v = 1; }\nconst d = a / b / c;\n",
+            [("one", None), ("two", None), ("v", "two"), ("d", None)],
+        ),
+        "list.js": (
+            "const a = require('a'),\n  b = require('b');\nlet x = { k: 1 },\n  y = 2;\nfoo(1,\n 2);\nvar m = 1, n = g(1,\n 2), o = 3;\n",
+            [(n, None) for n in "abxymno"],
+        ),
+        "type.ts": (
+            "function q(): { a: number } {\n  const inner = 1;\n}\nfunction r(o: { b: string }) { let w = 2; }\nexport const p = 1,\n  s = 2;\n",
+            [("q", None), ("inner", "q"), ("r", None), ("w", "r"), ("p", "export"), ("s", "export")],
+        ),
+    }
+    found = script_symbols(files(*[("p", path, content) for path, (content, _) in cases.items()]))
+    rows = found.orderBy("path", "line", "column").collect()
+    for path, (_, expected) in cases.items():
+        assert [(r.name, r.scope) for r in rows if r.path == path] == expected, path
+    imports = script_imports(files(("p", "list.js", cases["list.js"][0]))).collect()
+    assert sorted((r.import_path, r.import_name) for r in imports) == [("a", "a"), ("b", "b")]
