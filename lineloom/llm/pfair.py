@@ -20,7 +20,7 @@ BLOCK = 32
 #: Weights, where none are given: the source's rows to this power.
 TEMPER = 0.5
 #: Rows of one source ranked by one task, about.
-BUCKET = 20_000
+BUCKET = 2_000
 
 
 def shares(weights: dict, period: int = PERIOD) -> dict:
