@@ -454,7 +454,7 @@ KEPT = f"SELECT project, path, language, last_modified, length(content)::BIGINT
 
 
 @query(f"""WITH {o.SCAN}, after AS (SELECT scan.* FROM scan JOIN diff ON scan.path = diff.path AND scan.project IS NOT
-    DISTINCT FROM diff.project WHERE status = 'changed' AND language <> 'markdown'
+    DISTINCT FROM diff.project WHERE status IN ('new', 'changed')
   UNION ALL SELECT project, path, content, file_size, language, last_modified FROM docs SEMI JOIN
     (SELECT path FROM diff WHERE status IN ('skipped')) USING (path)) {KEPT} FROM after""")
 def apply_changes(spark, sf):

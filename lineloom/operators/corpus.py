@@ -27,6 +27,21 @@ def filter_excluded(
     return files.filter(~paths.excluded(F.col("path"), names, suffixes))
 
 
+def filter_kept(
+    files: DataFrame,
+    languages: tuple[str, ...] | None = None,
+    names: tuple[str, ...] = paths.EXCLUDED_DIRECTORIES,
+    suffixes: tuple[str, ...] = (),
+) -> DataFrame:
+    """The one rule of what an index holds, for full and incremental runs alike.
+
+    Files outside of hidden and excluded directories, without one of ``suffixes``, in one of
+    ``languages``; ``None`` keeps every language.
+    """
+    kept = files if languages is None else filter_supported(files, languages)
+    return filter_excluded(kept, names, suffixes)
+
+
 def for_project(df: DataFrame, project: str | None, projects: DataFrame | None = None) -> DataFrame:
     """Rows of one project, given by name or folder path; all rows for ``None``.
 

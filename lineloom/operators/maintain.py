@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.functions.paths import file_id, file_name
-from lineloom.operators.corpus import filter_excluded, filter_supported, index_files
+from lineloom.operators.corpus import filter_kept, index_files
 from lineloom.plans.index import Index, index_of_files
 
 TABLES = ("files", "symbols", "imports", "postings")
@@ -37,6 +37,15 @@ def diff_files(scan: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def below(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """Files ``(project, path, ...)`` that lie below one of ``folders`` ``(project, path)``; ``""`` is the root."""
+    parts = F.split("path", "/")
+    parents = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    held = folders.select(F.col("project").alias("_project"), F.col("path").alias("_folder")).distinct()
+    same = F.col("_project").eqNullSafe(F.col("project")) & (F.col("_folder") == F.col("_parent"))
+    return files.withColumn("_parent", F.explode(parents)).join(held, same, "left_semi").drop("_parent").distinct()
+
+
 def changes_of_scan(scan: DataFrame, files: DataFrame, prune: bool = False) -> DataFrame:
     """The scan as a change feed against the index: ``add``, ``change``, and with
     ``prune`` also ``unlink`` for indexed files that are gone."""
@@ -51,6 +60,7 @@ def changes_of_scan(scan: DataFrame, files: DataFrame, prune: bool = False) -> D
         F.col("last_modified").alias("ts"),
         F.lit(0).cast("bigint").alias("seq"),
         "content",
+        *([F.col("file_size")] if "file_size" in scan.columns else []),
     )
     if not prune:
         return changed
@@ -62,42 +72,37 @@ def changes_of_scan(scan: DataFrame, files: DataFrame, prune: bool = False) -> D
         F.lit(0).cast("bigint").alias("seq"),
         F.lit(None).cast("string").alias("content"),
     )
-    return changed.unionByName(gone)
+    return changed.unionByName(gone, allowMissingColumns=True)
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:
-    """The last change of each path by time, then sequence number."""
-    last = F.struct(F.col("ts"), F.coalesce("seq", F.lit(0)).alias("seq"), "action", "content")
-    return (
-        changes.groupBy("project", "path")
-        .agg(F.max(last).alias("last"))
-        .select("project", "path", "last.action", "last.ts", "last.seq", "last.content")
-    )
+    """The last change of each path by time, then sequence number.
 
+    ``file_size`` is an optional column of a feed, for bodies that are not stored byte by byte.
+    """
+    size = [F.col("file_size").cast("bigint").alias("file_size")] if "file_size" in changes.columns else []
+    last = F.struct(F.col("ts"), F.coalesce("seq", F.lit(0)).alias("seq"), "action", "content", *size)
+    return changes.groupBy("project", "path").agg(F.max(last).alias("last")).select("project", "path", "last.*")
 
-def upserts_of(changes: DataFrame) -> DataFrame:
-    """Rows of ``files`` that added and changed paths get."""
-    kept = filter_excluded(filter_supported(changes.filter(F.col("action").isin("add", "change"))))
-    return index_files(
-        kept.select(
-            "project",
-            "path",
-            "content",
-            F.col("ts").alias("last_modified"),
-            F.octet_length("content").cast("bigint").alias("file_size"),
-        )
-    )
+
+def upserts_of(changes: DataFrame, **rule) -> DataFrame:
+    """Rows of ``files`` that added and changed paths get; ``rule`` as for ``filter_kept``."""
+    octets = F.octet_length("content").cast("bigint")
+    size = F.coalesce(F.col("file_size").cast("bigint"), octets) if "file_size" in changes.columns else octets
+    kept = filter_kept(changes.filter(F.col("action").isin("add", "change")), **rule)
+    return index_files(kept.select("project", "path", "content", F.col("ts").alias("last_modified"), size.alias("file_size")))
 
 
-def apply_changes(index: Index, changes: DataFrame) -> Index:
-    """The index after a change feed ``(project, path, action, ts, seq, content)``.
+def apply_changes(index: Index, changes: DataFrame, **rule) -> Index:
+    """The index after a change feed ``(project, path, action, ts, seq, content[, file_size])``.
 
     Rows of every touched file leave all tables; added and changed files come back
-    freshly derived. The last change of a path wins.
+    freshly derived. The last change of a path wins. ``rule`` says which files are held, as
+    for ``filter_kept``.
     """
     last = latest_changes(changes)
     touched = last.select(file_id(F.col("project"), F.col("path")).alias("file_id"))
-    fresh = index_of_files(upserts_of(last), index.fold_accents)
+    fresh = index_of_files(upserts_of(last, **rule), index.fold_accents)
     return index.with_tables(
         **{
             t: getattr(index, t).join(touched, "file_id", "left_anti").unionByName(getattr(fresh, t))
@@ -106,9 +111,9 @@ def apply_changes(index: Index, changes: DataFrame) -> Index:
     )
 
 
-def refresh(index: Index, scan: DataFrame, prune: bool = False) -> Index:
+def refresh(index: Index, scan: DataFrame, prune: bool = False, **rule) -> Index:
     """Re-index what a scan shows as new or changed; ``prune`` also drops what is gone."""
-    return apply_changes(index, changes_of_scan(scan, index.files, prune))
+    return apply_changes(index, changes_of_scan(scan, index.files, prune), **rule)
 
 
 def add_project(projects: DataFrame, folder: str, name: str | None = None) -> DataFrame:
@@ -150,21 +155,27 @@ def remove_project(index: Index, project: str) -> Index:
     return index.with_tables(projects=rest, **left)
 
 
-def update_projects(projects: DataFrame, stats: DataFrame, finished_at) -> DataFrame:
-    """Projects after a run: counts of ``project_stats``, status and times."""
+def update_projects(projects: DataFrame, stats: DataFrame, finished_at, touched: DataFrame | None = None) -> DataFrame:
+    """Projects after a run: counts of ``project_stats``; status and times only of the projects
+    ``touched`` by it (column ``project``), or of all."""
     counted = stats.withColumnsRenamed(
         {"project": "name", "file_count": "new_files", "symbol_count": "new_symbols"}
     )
     done = F.lit(finished_at).cast("timestamp")
-    return projects.join(counted, "name", "left").select(
+    rows = projects.join(counted, "name", "left").withColumn("_in", F.lit(True))
+    if touched is not None:
+        names = touched.select(F.col("project").alias("name"), F.lit(True).alias("_in")).filter("name IS NOT NULL").distinct()
+        rows = rows.drop("_in").join(names, "name", "left")
+    inside = F.coalesce("_in", F.lit(False))
+    return rows.select(
         "name",
         "folder_path",
-        F.lit("indexed").alias("status"),
+        F.when(inside, "indexed").otherwise(F.col("status")).alias("status"),
         F.coalesce("new_files", F.lit(0)).alias("file_count"),
         F.coalesce("new_symbols", F.lit(0)).alias("symbol_count"),
-        done.alias("last_indexed"),
+        F.when(inside, done).otherwise(F.col("last_indexed")).alias("last_indexed"),
         "created_at",
-        done.alias("updated_at"),
+        F.when(inside, done).otherwise(F.col("updated_at")).alias("updated_at"),
     )
 
 

@@ -18,20 +18,20 @@ from pyspark.sql import types as T
 
 from lineloom import schemas
 from lineloom.functions.paths import file_id
-from lineloom.operators.corpus import index_files
+from lineloom.operators.corpus import filter_kept, index_files
 from lineloom.operators.maintain import (
     TABLES,
     add_project,
-    changes_of_scan,
+    below,
     diff_files,
     latest_changes,
     project_names,
-    run_summary,
     update_projects,
     upserts_of,
 )
 from lineloom.plans.index import Index, index_of_files
 from lineloom.plans.stats import project_stats
+from lineloom.sources.tree import read_bodies
 
 SCHEMAS = {
     "files": schemas.FILES,
@@ -191,17 +191,19 @@ def index_corpus(
     projects: DataFrame | None = None,
     fold_accents: bool = True,
     partitions: int | None = None,
+    **rule,
 ) -> int:
     """Index a whole corpus as a new base, the way to store a first index.
 
     The files are written first and everything else is derived from that copy, so a
     costly scan runs once. ``partitions`` spreads the files when the corpus comes in
-    fewer pieces than there are cores; a large corpus needs no such shuffle.
+    fewer pieces than there are cores; a large corpus needs no such shuffle. ``rule`` says
+    which files are held, as for ``filter_kept``; later runs take the same.
     """
     spark = corpus.sparkSession
     started = datetime.now(timezone.utc)
     segment, _ = _next_segment(spark, path)
-    _write(index_files(corpus), path, "files", segment, partitions)
+    _write(index_files(filter_kept(corpus, **rule)), path, "files", segment, partitions)
     _write_derived(spark, path, segment, fold_accents, partitions)
     if projects is not None:
         _write(projects, path, "projects", segment)
@@ -231,12 +233,13 @@ def commit_changes(
     run_id: str | None = None,
     fold_accents: bool = True,
     partitions: int | None = None,
+    rule: dict | None = None,
     **counts: int,
 ) -> int | None:
     """Add a change feed to a stored index as one run; the last change of a path wins.
 
     With a ``run_id`` that was committed before, nothing happens: a restarted stream may
-    hand in the same batch twice.
+    hand in the same batch twice. ``rule`` has the options of ``filter_kept``.
     """
     started = datetime.now(timezone.utc)
     runs = read_runs(spark, path)
@@ -245,7 +248,7 @@ def commit_changes(
     segment, base = _next_segment(spark, path)
     touched = changes.select(file_id(F.col("project"), F.col("path")).alias("file_id")).distinct()
     _write(touched, path, "removed", segment)
-    _write(upserts_of(latest_changes(changes)), path, "files", segment, partitions)
+    _write(upserts_of(latest_changes(changes), **(rule or {})), path, "files", segment, partitions)
     _write_derived(spark, path, segment, fold_accents, partitions)
     counts = {"indexed": _count(spark, path, "files", segment), **counts}
     counts |= {t: _count(spark, path, t, segment) for t in ("symbols", "imports")}
@@ -274,40 +277,66 @@ def reindex_all(
     fold_accents: bool = True,
     folders: dict[str, str] | None = None,
     partitions: int | None = None,
+    **rule,
 ) -> int:
     """Bring a stored index up to a scan of all its projects, in one run.
 
-    ``scan`` is a corpus, of ``read_trees`` for example; files with an ``error`` are
-    counted as failed and left as they were. ``folders`` registers ``{project: folder}``.
+    ``scan`` is a corpus, or a listing of ``list_trees``: then only files that are new or changed
+    are opened. What differs is stored once, by key, and everything else follows from that. Files
+    with an ``error`` are counted as failed and left as they were; with ``prune``, what lies below a
+    folder with an error is not taken for gone. ``folders`` registers ``{project: folder}``; status
+    and times change for the projects of the scan and of ``folders``. ``rule`` as for ``filter_kept``.
     """
     started = datetime.now(timezone.utc)
     index = read_index(spark, path, fold_accents)
     segment, base = _next_segment(spark, path)
-    good, bad = scan, None
-    if "error" in scan.columns:
-        bad = scan.filter(F.col("error").isNotNull()).select("project", "path")
-        good = scan.filter(F.col("error").isNull())
-    # A file that could not be read is still there, so it must not count as missing.
-    diff = diff_files(scan, index.files)
-    changes = changes_of_scan(good, index.files)
+    if "error" not in scan.columns:
+        scan = scan.withColumn("error", F.lit(None).cast("string"))
+    failed = F.col("error").isNotNull()
+    kept = filter_kept(scan.filter(~failed), **rule)
+    known = diff_files(scan.select("project", "path", "last_modified"), index.files)
+    wanted = kept.select("project", "path").withColumn("kept", F.lit(True))
+    troubled = scan.filter(failed).select("project", "path").withColumn("failed", F.lit(True))
+    keyed = lambda df, *more: df.select(file_id(F.col("project"), F.col("path")).alias("file_id"), *more)
+    diff = (
+        keyed(known, "project", "path", "status")
+        .join(keyed(wanted, "kept"), "file_id", "left")
+        .join(keyed(troubled, "failed"), "file_id", "left")
+    )
+    status = (
+        F.when(F.col("failed"), "failed")
+        .when((F.col("status") == "missing") | F.col("kept"), F.col("status"))
+        .otherwise("missing")
+    )
+    staged = f"{path}/diff/segment={segment}"
+    diff.select("file_id", "project", "path", status.alias("status")).write.mode("overwrite").parquet(staged)
+    diff = spark.read.parquet(staged)
+
+    fresh = kept.withColumn("file_id", file_id(F.col("project"), F.col("path"))).join(
+        diff.filter(F.col("status").isin("new", "changed")).select("file_id"), "file_id", "left_semi"
+    )
+    if "content" not in scan.columns:
+        fresh = read_bodies(fresh, partitions).filter(F.col("error").isNull())
+    _write(index_files(fresh), path, "files", segment, partitions)
+    stored = spark.read.schema(schemas.FILES).parquet(f"{path}/files/segment={segment}").select("file_id")
+    removed = stored
     if prune:
-        gone = diff.filter(F.col("status") == "missing").select(
-            "project",
-            "path",
-            F.lit("unlink").alias("action"),
-            F.lit(None).cast("timestamp").alias("ts"),
-            F.lit(0).cast("bigint").alias("seq"),
-            F.lit(None).cast("string").alias("content"),
-        )
-        changes = changes.unionByName(gone)
-    touched = changes.select(file_id(F.col("project"), F.col("path")).alias("file_id"))
-    _write(touched, path, "removed", segment)
-    _write(upserts_of(changes), path, "files", segment, partitions)
+        missing = diff.filter(F.col("status") == "missing").select("file_id", "project", "path")
+        # Failed rows are few; folders among them shield what lies below.
+        hidden = below(missing, diff.filter(F.col("status") == "failed").select("project", "path"))
+        removed = removed.unionByName(missing.join(hidden, "file_id", "left_anti").select("file_id"))
+    _write(removed, path, "removed", segment)
     _write_derived(spark, path, segment, fold_accents, partitions)
-    new = {
-        t: spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}/segment={segment}") for t in ("symbols", "imports")
+
+    by_status = {r.status: r["count"] for r in diff.groupBy("status").count().collect()}
+    due = by_status.get("new", 0) + by_status.get("changed", 0)
+    indexed = stored.count()
+    counts = {
+        "indexed": indexed,
+        "skipped": by_status.get("skipped", 0),
+        "failed": by_status.get("failed", 0) + due - indexed,
+        **{t: _count(spark, path, t, segment) for t in ("symbols", "imports")},
     }
-    counts = run_summary(diff, new["symbols"], new["imports"], bad).first().asDict()
     projects = index.projects
     for name, folder in (folders or {}).items():
         projects = add_project(projects, folder, name)
@@ -319,7 +348,10 @@ def reindex_all(
         .unionByName(spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}/segment={segment}").select("project"))
         for t in ("files", "symbols")
     }
+    touched = diff.filter(F.col("status") != "missing").select("project")
+    if folders:
+        touched = touched.unionByName(spark.createDataFrame([(n,) for n in folders], "project string"))
     stats = project_stats(after["files"], after["symbols"])
-    _write(update_projects(projects, stats, datetime.now(timezone.utc)), path, "projects", segment)
+    _write(update_projects(projects, stats, datetime.now(timezone.utc), touched), path, "projects", segment)
     log_run(spark, path, segment, base, started_at=started, **counts)
     return segment

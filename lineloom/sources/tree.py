@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lineloom.functions.paths import EXCLUDED_DIRECTORIES, SUPPORTED_LANGUAGES, language_of
 
-LISTED = "project string, path string, full_path string, mtime double, file_size bigint"
+LISTED = "project string, path string, full_path string, mtime double, file_size bigint, error string"
 READ = "project string, path string, mtime double, file_size bigint, body binary, error string"
 BATCH_BYTES = 16 << 20
 
@@ -32,6 +32,14 @@ def _leads_up(folder: str, name: str) -> bool:
     return here.startswith(os.path.join(os.path.realpath(os.path.join(folder, name)), ""))
 
 
+def _entries(folder: str) -> list[os.DirEntry]:
+    """What a folder holds; nothing if it cannot be listed, which its own reader tells."""
+    try:
+        return list(os.scandir(folder))
+    except OSError:
+        return []
+
+
 class _Folder(InputPartition):
     def __init__(self, project: str, root: str, folder: str, deep: bool):
         super().__init__((project, folder))
@@ -54,7 +62,7 @@ class _TreeReader(DataSourceReader):
                     level = [
                         entry.path
                         for folder in level
-                        for entry in os.scandir(folder)
+                        for entry in _entries(folder)
                         if entry.is_dir()
                         and _is_listed(entry.name, self.excluded)
                         and not _leads_up(folder, entry.name)
@@ -62,7 +70,15 @@ class _TreeReader(DataSourceReader):
         return found
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
-        for folder, folders, names in os.walk(partition.folder, followlinks=True):
+        """Files, and a row with ``error`` for every folder and file that cannot be looked at."""
+
+        def row(full: str, stat: os.stat_result | None, error: OSError | None) -> tuple:
+            inside = os.path.relpath(full, partition.root).replace(os.sep, "/")
+            inside = "" if inside == "." else inside
+            return (partition.project, inside, full, stat and stat.st_mtime, stat and stat.st_size, error and str(error))
+
+        closed: list[OSError] = []
+        for folder, folders, names in os.walk(partition.folder, followlinks=True, onerror=closed.append):
             folders[:] = sorted(
                 name
                 for name in folders
@@ -74,10 +90,14 @@ class _TreeReader(DataSourceReader):
                 full = os.path.join(folder, name)
                 try:
                     stat = os.stat(full)
-                except OSError:
+                except FileNotFoundError:  # gone meanwhile, or a link to nothing
                     continue
-                inside = os.path.relpath(full, partition.root).replace(os.sep, "/")
-                yield partition.project, inside, full, stat.st_mtime, stat.st_size
+                except OSError as problem:
+                    yield row(full, None, problem)
+                else:
+                    yield row(full, stat, None)
+        for problem in closed:
+            yield row(problem.filename, None, problem)
 
 
 class TreeSource(DataSource):
@@ -102,41 +122,47 @@ def _read_bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows, held = [], 0
     for batch in batches:
         for row in batch.itertuples(index=False):
-            body = error = None
-            try:
-                with open(row.full_path, "rb") as file:
-                    body = file.read()
-            except OSError as problem:
-                error = str(problem)
+            body, error = None, row.error
+            if error is None:
+                try:
+                    with open(row.full_path, "rb") as file:
+                        body = file.read()
+                except OSError as problem:
+                    error = str(problem)
             rows.append((row.project, row.path, row.mtime, row.file_size, body, error))
             held += len(body or b"")
             if held >= BATCH_BYTES:
-                yield pd.DataFrame(rows, columns=columns)
+                yield pd.DataFrame(rows, columns=columns).astype({"file_size": "Int64"})
                 rows, held = [], 0
     if rows:
-        yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame(rows, columns=columns).astype({"file_size": "Int64"})
 
 
-def read_trees(
+def list_trees(
     spark: SparkSession,
     roots: dict[str, str],
-    languages: tuple[str, ...] = SUPPORTED_LANGUAGES,
+    languages: tuple[str, ...] | None = SUPPORTED_LANGUAGES,
     excluded: tuple[str, ...] = EXCLUDED_DIRECTORIES,
     levels: int = 2,
-    partitions: int | None = None,
 ) -> DataFrame:
-    """Corpus of several folders, ``{project: root}``, tagged by project.
+    """Files of several folders, ``{project: root}``, without opening them.
 
-    Hidden names and ``excluded`` folders are not entered; only files in ``languages``
-    are opened. Bytes that are not UTF-8 become replacement characters. A file that
-    cannot be read has no content and says why in ``error``.
+    Hidden names and ``excluded`` folders are not entered. A folder or file that cannot be looked
+    at is a row with ``error``; a folder's path is that of the folder, the root's is empty.
     """
     spark.dataSource.register(TreeSource)
     reader = spark.read.format("source_tree").option("levels", levels).option("excluded", "\n".join(excluded))
     for project, root in roots.items():
         reader = reader.option(f"root.{project}", os.path.abspath(root))
-    listed = reader.load().filter(language_of(F.col("path")).isin(*languages))
-    spread = listed.repartition(partitions) if partitions else listed.repartition("full_path")
+    kept = F.lit(True) if languages is None else language_of(F.col("path")).isin(*languages) | F.col("error").isNotNull()
+    return reader.load().filter(kept).withColumn("last_modified", F.timestamp_seconds(F.floor("mtime")))
+
+
+def read_bodies(listed: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Corpus of the listed files. Bytes that are not UTF-8 become replacement characters; a file
+    that cannot be read has no content and says why in ``error``."""
+    rows = listed.select("project", "path", "full_path", "mtime", "file_size", "error")
+    spread = rows.repartition(partitions) if partitions else rows.repartition("full_path")
     return spread.mapInPandas(_read_bodies, READ).select(
         "project",
         "path",
@@ -147,6 +173,18 @@ def read_trees(
     )
 
 
+def read_trees(
+    spark: SparkSession,
+    roots: dict[str, str],
+    languages: tuple[str, ...] | None = SUPPORTED_LANGUAGES,
+    excluded: tuple[str, ...] = EXCLUDED_DIRECTORIES,
+    levels: int = 2,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Corpus of several folders, ``{project: root}``, tagged by project: ``list_trees`` with bodies."""
+    return read_bodies(list_trees(spark, roots, languages, excluded, levels), partitions)
+
+
 def read_tree(spark: SparkSession, root: str, project: str | None = None, **options) -> DataFrame:
     """Corpus of one folder; the project is named after the folder unless given."""
     root = os.path.abspath(root)

@@ -43,15 +43,22 @@ def maintain_index(
     to the last one per path, and committed under the batch's id: a batch replayed after
     a failure is recognised. Without ``interval`` the query takes what is there and
     stops; sessions that the watermark has not passed wait for the next start, or for
-    ``flush``.
+    ``flush``. The session's option ``sessionWindow.merge.sessions.in.local.partition`` is set.
     """
     # Sessions are merged inside each task before they are shuffled to their project.
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     closed = debounce(filter_feed(read_changes(spark, feed, format)), gap, delay)
 
     def apply(sessions: DataFrame, batch_id: int) -> None:
-        if sessions.isEmpty():
-            return
+        # Few rows, asked for several times; without this each time would run the state again.
+        sessions = sessions.persist()
+        try:
+            if not sessions.isEmpty():
+                commit(sessions, batch_id)
+        finally:
+            sessions.unpersist()
+
+    def commit(sessions: DataFrame, batch_id: int) -> None:
         changes = filter_feed(spark.read.schema(CHANGES).format(format).load(feed))
         span = sessions.agg(F.min("start").alias("start"), F.max("last").alias("last")).first()
         recent = changes.filter(F.col("ts").between(F.lit(span.start), F.lit(span.last)))

@@ -160,3 +160,37 @@ def test_unknown_project_raises_on_request(spark):
     require_project(projects, "/src/one")
     with pytest.raises(ValueError):
         require_project(projects, "two")
+
+
+def test_full_and_incremental_runs_agree_over_a_tree(spark, tmp_path):
+    """Any language, sizes of broken text, no body read without need, closed folders never pruned."""
+    import os
+
+    from lineloom.sources.tree import list_trees
+
+    tree, path = tmp_path / "tree", str(tmp_path / "index")
+    for name, body in {"x.go": b"func x\n", "sub/y.py": b"def y():\n", "bad.py": b"z = '\xff\xfe'\n"}.items():
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_bytes(body)
+    listed = list_trees(spark, {"p": str(tree)}, languages=None)
+    store.index_corpus(store.read_bodies(listed), path)
+    rows = lambda: sorted((r.path, r.file_size, r.language) for r in store.read_index(spark, path).files.collect())
+    first = rows()
+    assert [r[0] for r in first] == ["bad.py", "sub/y.py", "x.go"] and first[0][1] == 9
+    for name in ("x.go", "sub/y.py", "bad.py"):
+        os.utime(tree / name, (1_800_000_000, 1_800_000_000))
+    store.reindex_all(spark, path, list_trees(spark, {"p": str(tree)}, languages=None), prune=True)
+    assert rows() == first
+    last = store.read_runs(spark, path).orderBy(F.desc("segment")).first()
+    assert (last.indexed, last.skipped, last.failed) == (3, 0, 0)
+    # Nothing has changed, so a listing that points nowhere is never opened.
+    blind = list_trees(spark, {"p": str(tree)}, languages=None).withColumn("full_path", F.lit("/nowhere"))
+    store.reindex_all(spark, path, blind, prune=True)
+    last = store.read_runs(spark, path).orderBy(F.desc("segment")).first()
+    assert (last.indexed, last.skipped, last.failed) == (0, 3, 0) and rows() == first
+    # A folder that could not be listed shields what was known below it.
+    closed = spark.createDataFrame(
+        [("p", "sub", str(tree / "sub"), None, None, "denied", None)], blind.select("project", "path", "full_path", "mtime", "file_size", "error", "last_modified").schema
+    )
+    store.reindex_all(spark, path, closed, prune=True)
+    assert [r[0] for r in rows()] == ["sub/y.py"]
