@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
-#: Rows of the sample that orders the rules, the least by hash of their id, and how much text of each is timed.
+#: Rows of the sample that orders the rules: those with the least hash of their id. Of each, 20,000 bytes are timed.
 SAMPLE = 400
 
 
@@ -101,8 +101,10 @@ def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns are ignored. Only the order of the rules depends on the sample, never a result.
     """
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    some = rows.filter("text is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
-    order = cascade([bytes(r.text) for r in some.select(F.expr("substring(text, 1, 20000)").alias("text")).collect()])
+    # The ids of the sample are found first, so that no more texts than these come to the driver.
+    ids = rows.filter("id IS NOT NULL").select("id").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
+    some = rows.join(F.broadcast(ids), "id", "left_semi").select(F.expr("substring(text, 1, 20000)").alias("text"))
+    order = cascade([bytes(r.text or b"") for r in some.limit(sample).collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
