@@ -134,7 +134,9 @@ def neighbours(
     """
     spark = vectors.sparkSession
     rows = saved(usable(vectors, id_col, vector_col))
-    fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
+    # The ids of the sample are found first, so that no more vectors than these come to the driver.
+    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
+    fitted = rows.join(F.broadcast(chosen), "id", "left_semi").orderBy(F.xxhash64("id"), "id").select("vector").toArrow()
     schema = "query_id long, rank int, id long, score double"
     if not fitted.num_rows:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
