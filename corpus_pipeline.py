@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineloom.llm import bpe_codec, line_windows, pfair, simhash, toxicity
-from lineloom.llm.saved import shared_folder
+from lineloom.llm.saved import saved, shared_folder
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +24,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id stays.
 
-    Rows without an id can't be told apart and stay.
+    Of rows with one id and one text, one stays. Rows without an id can't be told apart and stay.
     """
-    groups = simhash.near_duplicates(docs)
+    groups = saved(simhash.near_duplicates(docs).select("doc_id", "component_id"))
     copies = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    repeated = saved(groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,11 +68,11 @@ def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str
     with a null id stay as they are. Rows of one id are taken for one document, so exact repeats of a
     row get the same text. Empty lines are lines like any other.
     """
-    places = later_windows(documents, id_col, text_col).withColumnsRenamed({"id": "_id", "places": "_places"})
-    joined = documents.join(places.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
+    places = later_windows(documents, id_col, text_col).withColumnsRenamed({"id": "__lines_id", "places": "__lines_places"})
+    joined = documents.join(places.hint("shuffle_hash"), F.col(id_col) == F.col("__lines_id"), "left")
     # Only texts that lose lines go through Python.
-    changed = _without(F.when(F.col("_places").isNotNull(), F.col(text_col)), F.col("_places"))
-    text = F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(changed)
+    changed = _without(F.when(F.col("__lines_places").isNotNull(), F.col(text_col)), F.col("__lines_places"))
+    text = F.when(F.col("__lines_places").isNull(), F.col(text_col)).otherwise(changed)
     return joined.withColumn(text_col, text).select(*documents.columns)
 
 

@@ -78,8 +78,8 @@ def mixed(
     spark = documents.sparkSession
     name = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    counted = documents.select(name.alias("_name")).groupBy("_name").count()
-    sizes = {r["_name"]: r["count"] for r in counted.limit(period + 1).collect()}
+    counted = documents.select(name.alias("__mix_name")).groupBy("__mix_name").count()
+    sizes = {r["__mix_name"]: r["count"] for r in counted.limit(period + 1).collect()}
     if weights is None:
         named = {s: n**TEMPER for s, n in sizes.items()}
     else:
@@ -89,30 +89,30 @@ def mixed(
     digits = 0
     while max(sizes.values(), default=0) > BUCKET * 16**digits:
         digits += 1
-    rows = documents.withColumns({"_name": name, "_order": order}).withColumn("_bucket", F.substring("_order", 1, digits))
-    before = Window.partitionBy("_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = documents.withColumns({"__mix_name": name, "__mix_order": order}).withColumn("__mix_bucket", F.substring("__mix_order", 1, digits))
+    before = Window.partitionBy("__mix_name").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
-        documents.select(name.alias("_name"), F.substring(order, 1, digits).alias("_bucket")).groupBy("_name", "_bucket").count()
+        documents.select(name.alias("__mix_name"), F.substring(order, 1, digits).alias("__mix_bucket")).groupBy("__mix_name", "__mix_bucket").count()
     )
-    counts = saved(counts.select("_name", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")))
-    own = Window.partitionBy("_name", "_bucket").orderBy("_order", F.col(id_col))
-    ranked = rows.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(counts) if digits < 3 else counts, ["_name", "_bucket"])
+    counts = saved(counts.select("__mix_name", "__mix_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__mix_before")))
+    own = Window.partitionBy("__mix_name", "__mix_bucket").orderBy("__mix_order", F.col(id_col))
+    ranked = rows.withColumn("__mix_own", F.row_number().over(own) - 1).join(F.broadcast(counts) if digits < 3 else counts, ["__mix_name", "__mix_bucket"])
     slots = schedule(parts) if parts else {}
     table = spark.createDataFrame(
-        [(s, parts[s], slots[s]) for s in parts], "_name string, _share long, _slots array<long>"
+        [(s, parts[s], slots[s]) for s in parts], "__mix_name string, __mix_share long, __mix_slots array<long>"
     )  # at most `period` slots in all
-    ranked = ranked.join(F.broadcast(table), "_name").withColumn("_rank", F.col("_before") + F.col("_own"))
-    number = F.floor(F.col("_rank") / block)
-    slot = F.floor(number / F.col("_share")) * period + F.get("_slots", (number % F.col("_share")).cast("int"))
-    new = {rank_col: F.col("_rank"), slot_col: slot, share_col: F.col("_share")}
+    ranked = ranked.join(F.broadcast(table), "__mix_name").withColumn("__mix_rank", F.col("__mix_before") + F.col("__mix_own"))
+    number = F.floor(F.col("__mix_rank") / block)
+    slot = F.floor(number / F.col("__mix_share")) * period + F.get("__mix_slots", (number % F.col("__mix_share")).cast("int"))
+    new = {rank_col: F.col("__mix_rank"), slot_col: slot, share_col: F.col("__mix_share")}
     kept = [F.col(c) for c in documents.columns if c not in new]
     return ranked.select(*kept, *[column.cast("long").alias(c) for c, column in new.items()])
 
 
 def in_order(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` in the order of the mix, with their own columns only."""
-    placed = mixed(documents, slot_col="_slot", rank_col="_place", share_col="_part", **options)
-    spread = placed.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place")
+    placed = mixed(documents, slot_col="__mix_slot", rank_col="__mix_place", share_col="__mix_part", **options)
+    spread = placed.repartitionByRange("__mix_slot", "__mix_place").sortWithinPartitions("__mix_slot", "__mix_place")
     return spread.select(*documents.columns)
 
 

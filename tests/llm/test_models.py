@@ -82,7 +82,8 @@ def test_label_model_counts_twins_once():
 def test_pipeline_against_its_parts(spark, tmp_path):
     documents, labels = corpus(spark, 150)
     texts = {r.doc_id: r.text for r in documents.collect()}
-    more = [(1000, texts[1]), (1001, texts[2] + " more"), (1002, "x\n" + texts[3] + "\ny"), (1003, None), (1004, "")]
+    again = (1005, "a row that comes twice with words of its own")
+    more = [again, again, (1000, texts[1]), (1001, texts[2] + " more"), (1002, "x\n" + texts[3] + "\ny"), (1003, None), (1004, "")]
     extra = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in more], documents.schema)
     every = documents.unionByName(extra)
     every.write.parquet(f"{tmp_path}/documents.parquet")
