@@ -93,7 +93,7 @@ def main() -> None:
     sink("bulk_find_symbol", lambda: bulk.bulk_find_symbol(source.symbols, words, limit=50))
     links = b.links(spark, SF)
     targets = links.select(F.col("import_path").alias("target"))
-    sink("bulk_dependents", lambda: bulk.bulk_dependents(links, targets))
+    sink("bulk_dependents", lambda: bulk.bulk_dependents(links, targets, limit=None))
     sink("last_action", lambda: sessions.last_action(b.feed(spark, SF), "30 minutes"))
     sink("diff_files", lambda: maintain.diff_files(b.scan(spark, SF), docs.files))
 

@@ -1,9 +1,11 @@
 """The corpora of ``bindings``, written in SQL: named parts a query's SQL is put together from."""
 
+#: The blanks that trimming takes away.
 BLANK = (
     r"[\t\n\x0b\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 )
 
+#: Languages by extension.
 LANGUAGE = """
 CASE lower(regexp_extract(path, '[^/]+\\.([^./]+)$', 1))
   WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'typescript'
@@ -101,6 +103,7 @@ PHP_CLASS = line_symbols(
 )
 PHP_CONSTANT = line_symbols("php_constant", "php", "constant", r"^(?:const|public\s+const)\s+(\w+)\s*=", "")
 
+#: The line patterns of imports and includes, here and below.
 _IMPORT = r"^(?:from\s+([\w.]+)\s+)?import\s+([\w,*\s]+)".replace(r"\s]", BLANK[1:]).replace(r"\s", BLANK)
 PY_IMPORT = f"""
 py_import AS (SELECT project, path, language, regexp_extract(trimmed, '{_IMPORT}', 1) AS import_path,

@@ -58,6 +58,7 @@ def filter_supported(spark, sf):
     return corpus.filter_supported(both).select(*PLACE)
 
 
+# The folder names in the SQL.
 @query(f"""WITH {o.DOCS}, placed AS (SELECT project, CASE language WHEN 'python' THEN '.venv/' || path
     WHEN 'php' THEN 'lib/vendor/' || path WHEN 'javascript' THEN 'src/build/' || path
     WHEN 'typescript' THEN 'building/' || path ELSE path END AS path FROM docs)
@@ -347,7 +348,7 @@ def get_dependents(spark, sf):
   ON contains(lower(import_path), lower(target))""")
 def bulk_dependents(spark, sf):
     links = b.links(spark, sf)
-    return bulk.bulk_dependents(links, links.select(F.col("import_path").alias("target")))
+    return bulk.bulk_dependents(links, links.select(F.col("import_path").alias("target")), limit=None)
 
 
 @query(f"""WITH {o.SYMBOLS}, needles AS (SELECT unnest(['order_' || n_nationkey, n_nationkey::VARCHAR]) AS needle

@@ -32,7 +32,8 @@ def _first_matches(
     chosen = first.select("file_id")
     if limit <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    return index.files.drop("content").join(chosen, "file_id", "left_semi").orderBy("project", "path")
+    rows = index.files.drop("content").join(chosen, "file_id", "left_semi")
+    return rows.orderBy("project", "path").limit(limit)
 
 
 def search_code(
