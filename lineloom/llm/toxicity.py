@@ -36,15 +36,23 @@ def entries(text: str | None) -> set[str]:
     return words | {w[:n] + "*" for n in PREFIXES for w in words if len(w) > n}
 
 
-def lexicon(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """Entries that mark toxic texts, greedily chosen so that each adds texts the others miss."""
-    hits = Counter(e for text in toxic for e in text)
-    likely = {e for e, n in hits.items() if n >= 3}
-    misses = Counter(e for text in clean for e in text if e in likely)
+def lexicon(toxic: list[str], clean: list[str]) -> list[str]:
+    """Entries that mark toxic texts, greedily chosen so that each adds texts the others miss.
+
+    Texts are gone through one by one; only counts and the few likely entries are held.
+    """
+    hits: Counter = Counter()
+    for text in toxic:
+        hits.update(entries(text))
+    hits = Counter({e: n for e, n in hits.items() if n >= 3})
+    misses = Counter(e for text in clean for e in entries(text) & hits.keys())
     a, b = max(len(toxic), 1), max(len(clean), 1)
-    likely = {e for e in likely if (hits[e] / a) / ((misses[e] + 0.5) / b) > 15}
+    likely = {e for e in hits if (hits[e] / a) / ((misses[e] + 0.5) / b) > 15}
     best = sorted(likely, key=lambda e: (-(hits[e] - 10 * misses[e]), len(e), e))[:ENTRIES]
-    holders = {e: {i for i, text in enumerate(toxic) if e in text} for e in best}
+    holders: dict[str, set[int]] = {e: set() for e in best}
+    for i, text in enumerate(toxic):
+        for entry in entries(text) & holders.keys():
+            holders[entry].add(i)
     chosen, covered = [], set()
     while len(chosen) < VOTERS and best:
         entry = max(best, key=lambda e: (len(holders[e] - covered) - 2 * misses[e], -len(e), e))
@@ -150,7 +158,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         model = Model(list(OPENING))
         model.weights = [-4.0] + [2.0] * (len(OPENING) + len(PATTERNS)) + [0.0, 4.0]
         return model
-    model = Model(lexicon([entries(t) for t, y in rows if y], [entries(t) for t, y in rows if not y]))
+    model = Model(lexicon([t for t, y in rows if y], [t for t, y in rows if not y]))
     votes = np.array([model.votes(t) for t, _ in rows])
     prior = sizes[1] / (sizes[0] + sizes[1])
     soft = label_model(np.minimum(votes, 1), gold, gold.mean())
