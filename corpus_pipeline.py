@@ -1,6 +1,7 @@
 """A corpus prepared for training: toxic texts out, repeated lines out, one of each group of near copies, mixed, encoded."""
 
 from collections.abc import Callable
+from itertools import accumulate
 from uuid import uuid4
 
 import public_tokenizers
@@ -42,8 +43,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document, encoded and decoded again."""
-    return bpe_codec.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Token counts and digests of every document, encoded and decoded again, in the order in which ``docs`` was written.
+
+    ``position`` counts from 0 in that order. ``docs`` is a folder read from files: Spark reads them packed by
+    size, so the order is taken from their numbers and the rows' places in them.
+    """
+    place = F.struct("doc_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    encoded = bpe_codec.digests(docs.select(place.alias("place"), "text"), public_tokenizers.path("byte_bpe_50k.json"), "place")
+    encoded = saved(encoded.select("place.*", *[c for c in encoded.columns if c != "place"]))
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).try_cast("long")
+    files = encoded.groupBy("file").count().orderBy(number, "file").collect()  # as many as the driver lists anyway
+    before = accumulate((r["count"] for r in files), initial=0)
+    starts = spark.createDataFrame([(r.file, n) for r, n in zip(files, before)], "file string, start long")
+    placed = encoded.join(F.broadcast(starts), "file").withColumn("position", F.col("start") + F.col("row"))
+    return placed.drop("file", "row", "start").orderBy("position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -59,7 +72,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's result written to the shared folder and read again."""
+    """All stages over ``documents``, each one's result written to the shared folder and read again; rows in the order of the mix."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:

@@ -104,3 +104,20 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     order = [r.doc_id for r in pfair.in_order(docs).collect()]
     placed = {r.doc_id: (r.slot, r.rank) for r in pfair.mixed(docs).collect()}
     assert order == sorted(order, key=placed.get)
+
+
+def test_pipeline_rows_come_in_the_order_of_the_mix(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices("abcdefghij", k=rng.choice((9, 200)))), f"s{i % 3}") for i in range(240)]
+    documents = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = corpus_pipeline.run(spark, str(tmp_path))
+        got = [r.doc_id for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    mixed = corpus_pipeline.mix_sources(spark, documents.join(out.select("doc_id"), "doc_id", "left_semi"), str(tmp_path))
+    assert len(got) > 200 and got == [r.doc_id for r in mixed.collect()]
+    assert [r.position for r in out.collect()] == list(range(len(got)))
