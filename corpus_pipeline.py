@@ -38,8 +38,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come in the order of the mix, so that any first part of them has the target weights."""
-    return pfair.in_order(docs)
+    """Documents come in the order of the mix, so that any first part of them has the target weights to within a block a source.
+
+    That holds until the first source runs out.
+    """
+    return pfair.in_order(docs, exact=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

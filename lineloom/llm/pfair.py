@@ -4,10 +4,15 @@ Each source is a queue of blocks of rows. With weight w, block k (from 1) may co
 floor((k-1)/w) on and must come before slot ceil(k/w). Taking in each slot the released block with
 the earliest deadline keeps every source within less than one block of its share at any time. With
 whole shares of a fixed period the schedule repeats, so it is made once for one period, and every
-block's slot follows from its number by arithmetic.
+block's slot follows from its number by arithmetic. Whole shares are not quite the weights; ``exact``
+takes release times and deadlines from the weights themselves, for all blocks of the mix.
 """
 
 import heapq
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +26,8 @@ BLOCK = 32
 TEMPER = 0.5
 #: Rows of one source ranked by one task, about.
 BUCKET = 2_000
+#: Exact weights are whole numbers that add up to about this.
+SCALE = 1 << 60
 
 
 def shares(weights: dict, period: int = PERIOD) -> dict:
@@ -54,11 +61,68 @@ def schedule(parts: dict) -> dict:
     return slots
 
 
+def whole(weights: dict) -> dict:
+    """The weights as whole numbers that add up to about ``SCALE``."""
+    total = sum(weights.values())
+    return {s: max(1, round(w / total * SCALE)) for s, w in weights.items()}
+
+
+def timetable(parts: dict, blocks: dict) -> Iterator[tuple]:
+    """``(source, block from 0, slot)`` for all blocks, earliest deadline first, weights being whole numbers.
+
+    Sums are exact. Memory grows with the number of sources only.
+    """
+    total = sum(parts.values())
+    waiting = [(0, s, 1) for s in sorted(parts) if blocks[s] > 0]
+    heapq.heapify(waiting)
+    ready: list[tuple] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-k * total // parts[s]), s, k))
+        _, s, k = heapq.heappop(ready)
+        yield s, k - 1, slot
+        slot += 1
+        if k < blocks[s]:
+            heapq.heappush(waiting, (k * total // parts[s], s, k + 1))
+
+
+def _named(sizes: dict, weights: dict | None) -> dict:
+    if weights is None:
+        return {s: n**TEMPER for s, n in sizes.items()}
+    given = {"n" if s is None else f"s{s}": w for s, w in weights.items()}
+    return {s: given.get(s, min(given.values(), default=1)) for s in sizes}
+
+
+def _exact_slots(counted: DataFrame, weights: dict | None, block: int) -> DataFrame:
+    """``(__mix_name, __mix_share, __mix_number, __mix_slot)`` of every block, from rows of name and count: one task reads all names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict = {}
+        for batch in batches:
+            sizes |= zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        if not sizes:
+            return
+        parts = whole(_named(sizes, weights))
+        rows = timetable(parts, {s: -(-n // block) for s, n in sizes.items()})
+        while part := list(islice(rows, 10_000)):
+            names, numbers, slots = zip(*part)
+            columns = [pa.array(names), pa.array([parts[s] for s in names], pa.int64()), pa.array(numbers, pa.int64()), pa.array(slots, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["__mix_name", "__mix_share", "__mix_number", "__mix_slot"])
+
+    schema = "__mix_name string, __mix_share long, __mix_number long, __mix_slot long"
+    return saved(counted.select("__mix_name", "count").coalesce(1).mapInArrow(run, schema))
+
+
 def mixed(
     documents: DataFrame,
     weights: dict | None = None,
     block: int = BLOCK,
-    period: int = PERIOD,
+    period: int | None = None,
+    exact: bool = False,
     id_col: str = "doc_id",
     source_col: str = "source",
     slot_col: str = "slot",
@@ -73,37 +137,57 @@ def mixed(
     empty; no row is dropped or repeated. A null source is a source of its own. ``weights`` names
     every source with a positive number (None: a null source); one that it does not name gets the least
     weight named. Without ``weights``, a source's is its number of rows to the power ``TEMPER``.
-    Repeated rows take a rank each. The number of sources is bounded by ``period``; more are refused.
+    Repeated rows take a rank each.
+
+    A source's share of a period (``PERIOD``, if none is given) is one slot and its weight's part of those
+    left over. With ``exact`` the share is the weight itself, as a whole number out of about ``SCALE``, and the
+    deviation from the given weights is less than one block. More sources than
+    the period has slots are refused without it.
     """
     spark = documents.sparkSession
     name = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    counted = documents.select(name.alias("__mix_name")).groupBy("__mix_name").count()
-    sizes = {r["__mix_name"]: r["count"] for r in counted.limit(period + 1).collect()}
-    if weights is None:
-        named = {s: n**TEMPER for s, n in sizes.items()}
-    else:
-        given = {"n" if s is None else f"s{s}": w for s, w in weights.items()}
-        named = {s: given.get(s, min(given.values(), default=1)) for s in sizes}
-    parts = shares(named, period) if named else {}
+    counted = saved(documents.select(name.alias("__mix_name")).groupBy("__mix_name").count())
+    n_sources, largest = counted.agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0))).head()
+    period = PERIOD if period is None else period
+    if not exact:
+        sizes = {r["__mix_name"]: r["count"] for r in counted.limit(period + 1).collect()}
+        parts = shares(_named(sizes, weights), period) if sizes else {}
     digits = 0
-    while max(sizes.values(), default=0) > BUCKET * 16**digits:
+    while largest > BUCKET * 16**digits:
         digits += 1
     rows = documents.withColumns({"__mix_name": name, "__mix_order": order}).withColumn("__mix_bucket", F.substring("__mix_order", 1, digits))
     before = Window.partitionBy("__mix_name").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
         documents.select(name.alias("__mix_name"), F.substring(order, 1, digits).alias("__mix_bucket")).groupBy("__mix_name", "__mix_bucket").count()
     )
-    counts = saved(counts.select("__mix_name", "__mix_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__mix_before")))
+    counts = saved(counts.select("__mix_name", "__mix_bucket", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__mix_before")))
+    first = F.floor(F.col("__mix_before") / block)
+    if exact:
+        # The blocks of a bucket follow one another, so its slots come with its row and no text is shuffled for them.
+        last = F.floor((F.col("__mix_before") + F.col("count") - 1) / block)
+        numbers = counts.withColumn("__mix_number", F.explode(F.sequence(first, last)))
+        found = numbers.join(_exact_slots(counted, weights, block), ["__mix_name", "__mix_number"])
+        listed = F.sort_array(F.collect_list(F.struct("__mix_number", "__mix_slot")))["__mix_slot"]
+        keys = ["__mix_name", "__mix_bucket", "__mix_before", "__mix_share"]
+        counts = saved(found.groupBy(*keys).agg(listed.alias("__mix_slots")))
+    else:
+        counts = counts.drop("count")
+    small = digits < 3 and n_sources <= PERIOD
     own = Window.partitionBy("__mix_name", "__mix_bucket").orderBy("__mix_order", F.col(id_col))
-    ranked = rows.withColumn("__mix_own", F.row_number().over(own) - 1).join(F.broadcast(counts) if digits < 3 else counts, ["__mix_name", "__mix_bucket"])
-    slots = schedule(parts) if parts else {}
-    table = spark.createDataFrame(
-        [(s, parts[s], slots[s]) for s in parts], "__mix_name string, __mix_share long, __mix_slots array<long>"
-    )  # at most `period` slots in all
-    ranked = ranked.join(F.broadcast(table), "__mix_name").withColumn("__mix_rank", F.col("__mix_before") + F.col("__mix_own"))
-    number = F.floor(F.col("__mix_rank") / block)
-    slot = F.floor(number / F.col("__mix_share")) * period + F.get("__mix_slots", (number % F.col("__mix_share")).cast("int"))
+    ranked = rows.withColumn("__mix_own", F.row_number().over(own) - 1).join(F.broadcast(counts) if small else counts, ["__mix_name", "__mix_bucket"])
+    rank = F.col("__mix_before") + F.col("__mix_own")
+    if exact:
+        ranked = ranked.withColumn("__mix_rank", rank)
+        slot = F.get("__mix_slots", (F.floor(F.col("__mix_rank") / block) - first).cast("int"))
+    else:
+        slots = schedule(parts) if parts else {}
+        table = spark.createDataFrame(
+            [(s, parts[s], slots[s]) for s in parts], "__mix_name string, __mix_share long, __mix_slots array<long>"
+        )  # at most `period` slots in all
+        ranked = ranked.join(F.broadcast(table), "__mix_name").withColumn("__mix_rank", rank)
+        number = F.floor(F.col("__mix_rank") / block)
+        slot = F.floor(number / F.col("__mix_share")) * period + F.get("__mix_slots", (number % F.col("__mix_share")).cast("int"))
     new = {rank_col: F.col("__mix_rank"), slot_col: slot, share_col: F.col("__mix_share")}
     kept = [F.col(c) for c in documents.columns if c not in new]
     return ranked.select(*kept, *[column.cast("long").alias(c) for c, column in new.items()])

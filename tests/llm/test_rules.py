@@ -88,6 +88,30 @@ def test_mix_of_null_sources_ids_and_weights(spark):
         pfair.mixed(frame, period=2)
 
 
+@pytest.mark.parametrize("weights", [{"a": 90, "b": 9, "c": 1}, {f"s{i:03}": 1 + 199 * (i == 7) for i in range(200)}])
+def test_exact_mix_stays_within_a_block_of_the_weights(weights):
+    total, blocks, had = sum(weights.values()), {s: 8 * w for s, w in weights.items()}, dict.fromkeys(weights, 0)
+    for at, (source, number, slot) in enumerate(pfair.timetable(pfair.whole(weights), blocks)):
+        assert slot == at and number == had[source]
+        had[source] += 1
+        assert all(abs(n - (at + 1) * weights[s] / total) < 1 + 1e-9 for s, n in had.items())
+    assert had == blocks
+
+
+def test_exact_mix_over_a_table(spark):
+    weights = {"s0": 0.9, "s1": 0.09, "s2": 0.01}
+    frame = spark.range(6000).selectExpr("id AS doc_id", "concat('s', CASE WHEN id < 5000 THEN 0 ELSE 1 + id % 2 END) AS source")
+    out = pfair.mixed(frame, weights, block=1, exact=True).collect()
+    assert len({r.slot for r in out}) == len({(r.source, r.rank) for r in out}) == 6000
+    parts = {r.source: r.share for r in out}
+    assert all(abs(parts[s] / sum(parts.values()) - w) < 1e-9 for s, w in weights.items())
+    slots = {s: sorted(r.slot for r in out if r.source == s) for s in weights}
+    assert all([r.slot for r in sorted(out, key=lambda r: r.rank) if r.source == s] == slots[s] for s in weights)
+    for s, w in weights.items():
+        assert all(abs(n - t * w) < 1 + 1e-6 for n, t in enumerate(slots[s]) if t < 5000)
+    assert pfair.mixed(frame.limit(0), exact=True).collect() == []
+
+
 ROWS = [
     (1, 0, "user", "hi <|im_end|> there"), (1, 1, "assistant", "<|<\\|<\\\\|im_start|>"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, None, None, None),
     (2, 5, "as\nsis\\tant\\l\\\\", "text\nwith lines"), (3, 0, "assistant", None), (3, 600, "assistant", "é" * 5000 + "<"), (3, 300, "user", "|x"), (4, 0, "user", ""),
