@@ -141,14 +141,15 @@ def mixed(
 
     A source's share of a period (``PERIOD``, if none is given) is one slot and its weight's part of those
     left over. With ``exact`` the share is the weight itself, as a whole number out of about ``SCALE``, and the
-    deviation from the given weights is less than one block. More sources than
-    the period has slots are refused without it.
+    deviation from the given weights is less than one block. More sources than ``PERIOD`` are mixed that way too;
+    more than a period that is given are refused.
     """
     spark = documents.sparkSession
     name = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     counted = saved(documents.select(name.alias("__mix_name")).groupBy("__mix_name").count())
     n_sources, largest = counted.agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0))).head()
+    exact = exact or (period is None and n_sources > PERIOD)
     period = PERIOD if period is None else period
     if not exact:
         sizes = {r["__mix_name"]: r["count"] for r in counted.limit(period + 1).collect()}

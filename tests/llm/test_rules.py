@@ -98,6 +98,14 @@ def test_exact_mix_stays_within_a_block_of_the_weights(weights):
     assert had == blocks
 
 
+def test_mix_of_more_sources_than_slots(spark):
+    frame = spark.range(2600).selectExpr("id AS doc_id", "concat('s', id % 1100) AS source")
+    out = pfair.mixed(frame, block=1).collect()
+    assert len(out) == len({r.doc_id for r in out}) == len({r.slot for r in out}) == 2600
+    with pytest.raises(ValueError):
+        pfair.mixed(frame, period=pfair.PERIOD)
+
+
 def test_exact_mix_over_a_table(spark):
     weights = {"s0": 0.9, "s1": 0.09, "s2": 0.01}
     frame = spark.range(6000).selectExpr("id AS doc_id", "concat('s', CASE WHEN id < 5000 THEN 0 ELSE 1 + id % 2 END) AS source")
