@@ -23,18 +23,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays.
-
-    Of rows with one id and one text, one stays. Rows without an id can't be told apart and stay.
-    """
-    groups = saved(simhash.near_duplicates(docs).select("doc_id", "component_id"))
+    """Of each group of near copies one row stays: the first by id (null ids last), fingerprint and text."""
+    key = ["doc_id", "__copy_print"]
+    groups = simhash.near_duplicates(docs, group_col="__copy_group").withColumnRenamed("fingerprint", "__copy_print")
+    groups = saved(groups.select(*key, "component_id", "__copy_group"))
     copies = groups.filter("doc_id != component_id").select("doc_id").distinct()
     kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    repeated = saved(groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    repeated = saved(groups.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id"))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    # Where an id doesn't tell which row it is, id and fingerprint do, and then the text.
+    first = F.min(F.struct(F.col("doc_id").isNull(), *key)).alias("first")
+    first = groups.groupBy("__copy_group").agg(first).select(F.col("first.doc_id").alias("__copy_id"), F.col("first.__copy_print").alias("__copy_first"))
+    unsure = docs.join(repeated.withColumnRenamed("doc_id", "__copy_of"), F.col("doc_id").eqNullSafe(F.col("__copy_of")), "left_semi")
+    unsure = unsure.withColumn("__copy_print", simhash.fingerprints(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__copy_id")) & (F.col("__copy_print") == F.col("__copy_first"))
+    rest = [c for c in docs.columns if c != "text"]
+    least = unsure.join(first, same, "left_semi").groupBy(*key).agg(F.min(F.struct("text", *rest)).alias("__copy_row"))
+    once = least.select("__copy_row.*").select(*docs.columns)
+    return kept.filter("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,11 @@ def hex_digits(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
+def fingerprints(text: Column) -> Column:
+    """The fingerprints of texts as ``near_duplicates`` returns them."""
+    return hex_digits(_fingerprints(text.cast("binary")))
+
+
 class _Planes:
     """Bit planes of fingerprints that lie group by group."""
 
@@ -213,6 +218,7 @@ def near_duplicates(
     text_col: str = "text",
     radius: int = RADIUS,
     blocks: int = BLOCKS,
+    group_col: str | None = None,
 ) -> DataFrame:
     """``(id, fingerprint, component_id)`` for every row of ``documents``.
 
@@ -221,7 +227,8 @@ def near_duplicates(
     fingerprint 0 and are linked like any other. Repeated rows are returned as often as they come;
     rows of one id but different texts are linked by their texts only. A null id stands for no id:
     its row takes the smallest id of its component, or null if there is none. Other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. ``group_col`` names one more column, which tells apart
+    components of one smallest id or of none.
     """
     rows = saved(
         documents.select(F.col(id_col).alias("id"), _fingerprints(F.col(text_col).cast("binary")).alias("print"))
@@ -234,9 +241,11 @@ def near_duplicates(
     least = placed.groupBy("root").agg(F.min("first").alias("component"), F.sum("copies").alias("rows"))
     least = saved(least.filter("rows > 1"))
     # Fingerprints of one row only are their own component and need no second look.
-    groups = saved(placed.join(least.hint("merge"), "root").select("print", "component"))
+    more = ["root"] if group_col else []
+    groups = saved(placed.join(least.hint("merge"), "root").select("print", "component", *more))
     return rows.join(groups.hint("merge"), "print", "left").select(
         F.col("id").alias(id_col),
         hex_digits("print").alias("fingerprint"),
         F.coalesce("component", "id").alias("component_id"),
+        *[F.coalesce(root, "print").alias(group_col) for root in more],
     )

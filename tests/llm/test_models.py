@@ -121,3 +121,17 @@ def test_pipeline_rows_come_in_the_order_of_the_mix(spark, tmp_path):
     mixed = corpus_pipeline.mix_sources(spark, documents.join(out.select("doc_id"), "doc_id", "left_semi"), str(tmp_path))
     assert len(got) > 200 and got == [r.doc_id for r in mixed.collect()]
     assert [r.position for r in out.collect()] == list(range(len(got)))
+
+
+def test_one_row_of_each_group_of_copies_stays(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join("".join(rng.choices("aeinrst", k=5)) for _ in range(400)) for _ in range(3))
+    near = a + " more"
+    assert bin(simhash.fingerprint(a.encode()) ^ simhash.fingerprint(near.encode())).count("1") <= 3
+    rows = [(1, a), (5, a), (5, b), (6, a), (None, c), (None, c), (None, a), (7, "one of its own"), (1, near), (8, None), (8, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()]
+    first = min(a, near, key=lambda t: simhash.fingerprint(t.encode()) % (1 << 64))
+    if simhash.fingerprint(a.encode()) == simhash.fingerprint(near.encode()):
+        first = a
+    assert sorted(got, key=str) == sorted([(1, first), (5, b), (None, c), (7, "one of its own"), (8, None)], key=str)
