@@ -3,8 +3,12 @@
 Every three consecutive lines are hashed (128 bits). A window that stands at more than one place is
 kept at its first, by document id and line, and its lines are covered at all others. Covered lines are
 merged and removed. A line's text never goes altogether: its first place lies in no later window.
+With ``sentences``, lines are cut after sentence marks first and windows hold three sentences, over line
+ends or within a line.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,26 +18,39 @@ from pyspark.sql import types as T
 from lineloom.llm.saved import saved
 
 LINES = 3
+#: Where units end; the same for Java's and Python's expressions.
+LINE_END = "\n"
+SENTENCE_END = r"\n|(?<=[.!?]) "
+
+
+def _kept_text(text: str, starts: list, end: str) -> str:
+    """The text without the units that the windows at the places cover; a line end between two units that stay is kept."""
+    parts = re.split(f"({end})", text)
+    kept = np.ones(len(parts) // 2 + 1 + LINES, bool)
+    for i in range(LINES):
+        kept[np.array(starts, np.int64) + i] = False
+    out, gap = [], ""
+    for at, unit in enumerate(parts[::2]):
+        if kept[at]:
+            out += [gap, unit] if out else [unit]
+            gap = ""
+        if at * 2 + 1 < len(parts) and gap != "\n":
+            gap = parts[at * 2 + 1]
+    return "".join(out)
+
 
+def _without(end: str):
+    @F.arrow_udf(T.StringType())
+    def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), places.to_pylist())
+        return pa.array([None if text is None else _kept_text(text, starts, end) for text, starts in pairs], pa.string())
 
-@F.arrow_udf(T.StringType())
-def _without(texts: pa.Array, places: pa.Array) -> pa.Array:
-    """Texts without the lines that the windows at the places cover."""
-    out = []
-    for text, starts in zip(texts.to_pylist(), places.to_pylist()):
-        if text is not None:
-            lines = text.split("\n")
-            kept = np.ones(len(lines) + LINES, bool)
-            for i in range(LINES):
-                kept[np.array(starts, np.int64) + i] = False
-            text = "\n".join([line for line, keep in zip(lines, kept.tolist()) if keep])
-        out.append(text)
-    return pa.array(out, pa.string())
+    return cut
 
 
-def later_windows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, places)``: the first lines (from 0) of the windows that stand somewhere before, per document."""
-    lines = F.split(F.col(text_col), "\n")
+def later_windows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", end: str = LINE_END) -> DataFrame:
+    """``(id, places)``: the first units (from 0) of the windows that stand somewhere before, per document."""
+    lines = F.split(F.col(text_col), end)
 
     def hashes(salt: int):
         each = F.transform("lines", lambda line: F.xxhash64(F.lit(salt), line))
@@ -61,17 +78,19 @@ def later_windows(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return later.groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: bool = False) -> DataFrame:
     """All rows and columns of ``documents``, with the lines of later windows taken out of the text.
 
     A text may become empty; no row is dropped. Texts of fewer than three lines, null texts and rows
     with a null id stay as they are. Rows of one id are taken for one document, so exact repeats of a
-    row get the same text. Empty lines are lines like any other.
+    row get the same text. Empty lines are lines like any other. ``sentences`` takes sentences for lines; then
+    all that goes by lines goes too.
     """
-    places = later_windows(documents, id_col, text_col).withColumnsRenamed({"id": "__lines_id", "places": "__lines_places"})
+    end = SENTENCE_END if sentences else LINE_END
+    places = later_windows(documents, id_col, text_col, end).withColumnsRenamed({"id": "__lines_id", "places": "__lines_places"})
     joined = documents.join(places.hint("shuffle_hash"), F.col(id_col) == F.col("__lines_id"), "left")
     # Only texts that lose lines go through Python.
-    changed = _without(F.when(F.col("__lines_places").isNotNull(), F.col(text_col)), F.col("__lines_places"))
+    changed = _without(end)(F.when(F.col("__lines_places").isNotNull(), F.col(text_col)), F.col("__lines_places"))
     text = F.when(F.col("__lines_places").isNull(), F.col(text_col)).otherwise(changed)
     return joined.withColumn(text_col, text).select(*documents.columns)
 

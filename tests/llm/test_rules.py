@@ -44,6 +44,19 @@ def test_null_ids_and_repeats(spark):
     assert license_templates.scan(frame).count() == quality.quality(frame).count() == 4
 
 
+def test_passages_within_lines(spark):
+    passage = "One is here. Two comes next! Is three last?"
+    texts = [f"Own. {passage} Tail a.", f"Other. {passage} Tail b.\nend", "Start. One is here. Two comes next!\nIs three last? Stop", "no marks\nhere"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_windows.without_repeats(frame, sentences=True).collect()}
+    assert got == {0: texts[0], 1: "Other. Tail b.\nend", 2: "Start.\nStop", 3: texts[3]}
+    assert sorted(r.text for r in line_windows.without_repeats(frame).collect()) == sorted(texts)
+    from corpus_pipeline import drop_repeated_lines
+
+    staged = drop_repeated_lines(spark, frame.selectExpr("*", "0L AS n_chars"), "").collect()
+    assert {r.doc_id: (r.text, r.n_chars) for r in staged} == {i: (t, len(t)) for i, t in got.items()}
+
+
 def test_optional_and_replaceable_regions():
     own = license_templates.Automaton({"t": "a [b [c]] d {2} e"})
     found = lambda text: [m[:2] for m in own.matches([w.encode() for w in text.split()])]
