@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import bpe_codec, chat, license_templates, line_windows, multi_index, pfair, quality, simhash, token_prefix, toxicity
+from lineloom.llm import bpe_codec, chat, license_templates, line_windows, merkle, multi_index, pfair, quality, simhash, token_prefix, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_multi_index": op2_multi_index,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_prefix": op8_token_prefix,
     "op9_pfair_mix": op9_pfair_mix,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLE: dict[str, str] = {
@@ -78,4 +83,5 @@ ORACLE: dict[str, str] = {
     "op5_line_windows": line_windows.SQL,
     "op7_quality": quality.SQL,
     "op9_pfair_mix": pfair.SQL,
+    "op11_merkle": merkle.SQL,
 }
