@@ -33,18 +33,13 @@ def leaf_digest(fields: Sequence[Column]) -> Column:
 
 def _spread(nodes: DataFrame, carried: list[str], fanout: int) -> DataFrame:
     """One row per parent: its digest and its children as the columns ``c0``, ``c1``, ..."""
-    child = F.struct("digest", *carried)
-    slot = F.col("place") % fanout
+    child = f"struct({', '.join(['digest', *carried])})"
     wide = nodes.groupBy("tree", F.floor(F.col("place") / fanout).alias("place")).agg(
-        F.max("size").alias("below"), *[F.max(F.when(slot == k, child)).alias(f"c{k}") for k in range(fanout)]
-    )
-    return wide.select(
-        "tree",
-        "place",
-        F.ceil(F.col("below") / fanout).alias("size"),
-        digest(*[F.col(f"c{k}.digest") for k in range(fanout)]).alias("digest"),
-        *[f"c{k}" for k in range(fanout)],
+        F.max("size").alias("below"), *[F.expr(f"max(CASE WHEN place % {fanout} = {k} THEN {child} END) AS c{k}") for k in range(fanout)]
     )
+    columns = [f"c{k}" for k in range(fanout)]
+    parent = f"sha2(concat_ws('', {', '.join(f'{c}.digest' for c in columns)}), 256) AS digest"
+    return wide.selectExpr("tree", "place", f"ceil(below / {fanout}) AS size", parent, *columns)
 
 
 def _climb(nodes: DataFrame, carried: list[str], fanout: int) -> tuple[list[DataFrame], DataFrame | None]:
@@ -66,6 +61,14 @@ def _climb(nodes: DataFrame, carried: list[str], fanout: int) -> tuple[list[Data
     return levels, None if tops is None else saved(tops)
 
 
+def _slots(fanout: int) -> str:
+    """Every child of a spread row with its place and the columns but its own, left and right."""
+    own = [f"c{k}.digest" for k in range(fanout)]
+    joined = lambda columns: f"concat_ws('', {', '.join(columns)})" if columns else "''"
+    step = lambda k: f"struct({joined(own[:k])} AS left, {joined(own[k + 1:])} AS right)"
+    return ", ".join(f"struct(place * {fanout} + {k} AS child_place, c{k} AS child, {step(k)} AS step)" for k in range(fanout))
+
+
 def _descend(levels: list[DataFrame], over: DataFrame, carried: list[str], fanout: int) -> DataFrame:
     """``(tree, place, digest, carried, path, more of over)`` of every leaf below the levels.
 
@@ -77,17 +80,8 @@ def _descend(levels: list[DataFrame], over: DataFrame, carried: list[str], fanou
     for height in range(len(levels) - 1, -1, -1):
         last = over.filter(F.col("height") == height + 1).select("tree", F.lit(0).cast("long").alias("place"), "path", *kept)
         above = last if above is None else above.unionByName(last)
-        children = [F.col(f"c{k}.digest") for k in range(fanout)]
-        each = [
-            F.struct(
-                (F.col("place") * fanout + k).alias("child_place"),
-                F.col(f"c{k}").alias("child"),
-                F.struct(F.concat_ws("", F.lit(""), *children[:k]).alias("left"), F.concat_ws("", F.lit(""), *children[k + 1 :]).alias("right")).alias("step"),
-            )
-            for k in range(fanout)
-        ]
-        wide = levels[height].select("tree", "place", *[f"c{k}" for k in range(fanout)])
-        found = wide.join(above, ["tree", "place"]).select("tree", "path", *kept, F.inline(F.filter(F.array(*each), lambda c: c["child"].isNotNull())))
+        found = levels[height].join(above, ["tree", "place"])
+        found = found.selectExpr("tree", "path", *kept, f"inline(filter(array({_slots(fanout)}), x -> x.child IS NOT NULL))")
         above = found.select(
             "tree",
             F.col("child_place").alias("place"),
