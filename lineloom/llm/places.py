@@ -22,7 +22,8 @@ def placed(rows: DataFrame, group: str, order: list[str], place_col: str = "plac
     in the ranges before is added up from one row per group and range. Rows that are equal in
     all columns of the order take places in any order among themselves.
     """
-    ranged = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    # Stored before they are ranged: finding the ranges reads the rows once more.
+    ranged = saved(rows).repartitionByRange(group, *order).sortWithinPartitions(group, *order)
     stored = saved(ranged.withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("__at", 33)
     pieces = stored.groupBy(group, part.alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))

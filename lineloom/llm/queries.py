@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import bpe_codec, chat, license_templates, line_windows, merkle, multi_index, pfair, quality, simhash, token_prefix, toxicity
+from lineloom.llm import bpe_codec, chat, decontaminate, divergence, license_templates, line_windows, merkle, multi_index, pfair, quality, simhash, token_prefix, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -63,6 +63,14 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.audit(_table(spark, sf, "documents"))
 
 
+def op12_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_multi_index": op2_multi_index,
@@ -75,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pfair_mix": op9_pfair_mix,
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE: dict[str, str] = {
@@ -84,4 +94,6 @@ ORACLE: dict[str, str] = {
     "op7_quality": quality.SQL,
     "op9_pfair_mix": pfair.SQL,
     "op11_merkle": merkle.SQL,
+    "op12_decontaminate": decontaminate.SQL,
+    "op13_divergence": divergence.SQL,
 }
