@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame
 
-from lineloom.operators.extract import line_imports, line_symbols
-from lineloom.operators.extract_js import script_imports, script_symbols
+from lineloom.operators.extract import line_imports, line_rows, line_symbols
+from lineloom.operators.extract_js import script_imports, script_rows, script_symbols
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
@@ -14,3 +14,8 @@ def extract_symbols(files: DataFrame) -> DataFrame:
 def extract_imports(files: DataFrame) -> DataFrame:
     """Import rows of all files; a language without rules gives none."""
     return line_imports(files).unionByName(script_imports(files))
+
+
+def extract_all(files: DataFrame) -> DataFrame:
+    """Symbols and imports of all files in one pass over their texts, as rows of ``operators.tagged``."""
+    return line_rows(files).unionByName(script_rows(files))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions import text
 from lineloom.operators.corpus import lines
+from lineloom.operators.tagged import tagged_import, tagged_symbol
 
 # The line patterns that define what is a symbol or an import.
 PATTERNS = {
@@ -146,14 +147,14 @@ def _select(rule_type: type, only: tuple[str, ...]) -> dict[str, list[Rule]]:
     return {language: rules for language, rules in chosen.items() if rules}
 
 
-def _scan(files: DataFrame, chosen: dict[str, list[Rule]], build) -> DataFrame:
-    """Lines of the chosen languages with the rows each line gives in ``found``."""
+def _scan(files: DataFrame, chosen: dict[str, list[Rule]], build, line: str = "line") -> DataFrame:
+    """The rows that each line of the chosen languages gives; its number is in the column ``line``."""
     kept = ["file_id", "project", "path", "language"]
     rows = lines(files.filter(F.col("language").isin(*chosen)).select(*kept, "content"))
     found = F.array_compact(
         F.array(*[build(language, rule) for language, rules in chosen.items() for rule in rules])
     )
-    return rows.select(*kept, "line", F.inline(found))
+    return rows.select(*kept, F.col("line").alias(line), F.inline(found))
 
 
 def line_symbols(files: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
@@ -176,3 +177,21 @@ def line_imports(files: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
     return _scan(files, _select(ImportRule, only), _import).select(
         "file_id", "project", "path", "language", "import_path", "import_name", "import_type"
     )
+
+
+def line_rows(files: DataFrame) -> DataFrame:
+    """Symbols and imports by the registered line rules in one pass over the lines, as rows of ``tagged``."""
+    symbol = lambda found: F.struct(
+        found["name"].alias("name"),
+        found["type"].alias("type"),
+        F.col("line").alias("line"),
+        found["column"].alias("column"),
+        F.lit(None).cast("string").alias("scope"),
+    )
+
+    def build(language: str, rule: Rule) -> Column:
+        made = _symbol(language, rule) if isinstance(rule, SymbolRule) else _import(language, rule)
+        return F.when(made.isNotNull(), tagged_symbol(symbol(made)) if isinstance(rule, SymbolRule) else tagged_import(made))
+
+    chosen = {language: rules for language, rules in RULES.items() if rules}
+    return _scan(files, chosen, build, "at_line").drop("at_line")

@@ -4,7 +4,8 @@ The text is read as a sequence of *pieces*: stretches that end at a brace, a sem
 or a line end. Strings, comments, templates and regex literals are masked first, keeping
 every character position. Running sums and ``last(..., ignorenulls)`` over the pieces of
 a file then give brace depth, bracket depth, the statement a brace belongs to and the
-block open at each depth. All those windows share one partitioning and one sort.
+block open at each depth. All those windows share one shuffle by file; within it there is a sort
+for the order of the file and one each for its lines, depths and levels.
 
 What a block does to the declarations inside it is its *tag*:
 
@@ -25,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineloom.functions import text
+from lineloom.operators.tagged import TAGGED, tagged_import, tagged_symbol
 
 LANGUAGES = ("javascript", "typescript")
 
@@ -94,19 +96,24 @@ def _count(piece: Column, characters: str) -> Column:
 
 def _pieces(files: DataFrame) -> DataFrame:
     """Pieces of the script files with their place; lines that cannot matter are left
-    out before the shuffle to the windows."""
+    out before the shuffle to the windows.
+
+    ``import`` statements, which often span lines, come from the same masked text as pieces of line 0: a lone
+    semicolon, which changes nothing for what follows, with the text in ``statement``.
+    """
     kept = ["file_id", "project", "path", "language"]
+    scripts = files.filter(F.col("language").isin(*LANGUAGES)).select(*kept, masked(F.col("content")).alias("masked"))
+    line = lambda text, at: F.struct((at + 1).alias("line"), text.alias("text"), F.lit(None).cast("string").alias("statement"))
+    imported = lambda found: F.struct(F.lit(0).alias("line"), F.lit(";").alias("text"), found.alias("statement"))
+    statements = F.when(F.contains("masked", F.lit("import")), F.regexp_extract_all("masked", F.lit(IMPORT), F.lit(0)))
+    statements = F.coalesce(statements, F.array().cast("array<string>"))
+    parts = F.concat(F.transform(text.file_lines(F.col("masked")), line), F.transform(statements, imported))
     found = (
-        files.filter(F.col("language").isin(*LANGUAGES))
-        .select(*kept, F.posexplode(text.file_lines(masked(F.col("content")))).alias("at", "text"))
-        .select(
-            *kept,
-            (F.col("at") + 1).alias("line"),
-            F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)).alias("parts"),
-        )
-        .filter((F.size("parts") > 1) | F.try_element_at("parts", F.lit(1)).rlike(WORTH_KEEPING))
+        scripts.select(*kept, F.inline(parts))
+        .select(*kept, "line", "statement", F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)).alias("parts"))
+        .filter(F.col("statement").isNotNull() | (F.size("parts") > 1) | F.try_element_at("parts", F.lit(1)).rlike(WORTH_KEEPING))
     )
-    return found.select(*kept, "line", F.posexplode("parts").alias("part", "piece"))
+    return found.select(*kept, "line", "statement", F.posexplode("parts").alias("part", "piece"))
 
 
 def _placed(files: DataFrame) -> DataFrame:
@@ -293,52 +300,46 @@ def _declarations() -> Column:
 
 def script_symbols(files: DataFrame) -> DataFrame:
     """Functions, classes, members and variables of script files, with scope."""
-    rows = _placed(files).filter(
-        (F.col("visible") | F.col("in_class")) & (F.col("starts") | F.col("list.variable") | (F.col("end") == "{"))
-    )
+    rows = _placed(files).filter(_may_declare())
     return rows.select("file_id", "project", "path", "language", F.inline(_declarations()))
 
 
+def _may_declare() -> Column:
+    return (F.col("visible") | F.col("in_class")) & (F.col("starts") | F.col("list.variable") | (F.col("end") == "{"))
+
+
 def shown(value: Column) -> Column:
     """A string value with its hidden structure back in place."""
     return F.translate(value, HIDDEN, STRUCTURE)
 
 
-def _requires(files: DataFrame) -> DataFrame:
+def _import(path: Column, name: Column, kind: str) -> Column:
+    return F.struct(path.alias("import_path"), name.alias("import_name"), F.lit(kind).alias("import_type"))
+
+
+def _required() -> Column:
+    """Import rows of the ``require`` calls that a piece has."""
     piece = F.col("piece")
     plain = F.filter(
         F.transform(
             _declarators(),
-            lambda part: F.struct(
-                shown(F.regexp_extract(part, REQUIRE, 2)).alias("import_path"),
-                F.nullif(F.regexp_extract(part, rf"^\s*({NAME})\s*[:=]", 1), F.lit("")).alias("import_name"),
+            lambda part: _import(
+                shown(F.regexp_extract(part, REQUIRE, 2)), F.nullif(F.regexp_extract(part, rf"^\s*({NAME})\s*[:=]", 1), F.lit("")), "require"
             ),
         ),
         lambda found: found["import_path"] != "",
     )
     taken_apart = F.when(
         piece.rlike(r"^\s*" + REQUIRE) & (F.col("previous") == "}"),
-        F.array(
-            F.struct(
-                shown(F.regexp_extract("piece", REQUIRE, 2)).alias("import_path"),
-                F.lit(None).cast("string").alias("import_name"),
-            )
-        ),
-    )
-    # Only files with such a call go through the windows.
-    calling = files.filter(F.contains(F.col("content"), F.lit("require")))
-    return (
-        _placed(calling)
-        .filter((F.col("starts") | F.col("list.variable")) & F.col("visible") & piece.rlike(r"=\s*require\("))
-        .select("file_id", "project", "path", "language", F.inline(F.when(F.size(plain) > 0, plain).otherwise(taken_apart)))
-        .withColumn("import_type", F.lit("require"))
+        F.array(_import(shown(F.regexp_extract("piece", REQUIRE, 2)), F.lit(None).cast("string"), "require")),
     )
+    calls = (F.col("starts") | F.col("list.variable")) & F.col("visible") & piece.rlike(r"=\s*require\(")
+    return F.when(calls, F.when(F.size(plain) > 0, plain).otherwise(taken_apart))
 
 
-def _es_imports(files: DataFrame) -> DataFrame:
-    """``import`` statements, found on the whole text because they often span lines."""
-    statement = F.col("statement")
-    clause = F.regexp_extract("statement", r"(?s)\bimport\b(.*?)(?:\bfrom\s*)?[\"']", 1)
+def _imported(statement: Column) -> Column:
+    """Import row of an ``import`` statement."""
+    clause = F.regexp_extract(statement, r"(?s)\bimport\b(.*?)(?:\bfrom\s*)?[\"']", 1)
     names = F.filter(
         F.transform(
             F.split(F.translate(clause, "{}", ",,"), ","),
@@ -346,27 +347,38 @@ def _es_imports(files: DataFrame) -> DataFrame:
         ),
         lambda n: ~n.isin("", "type"),
     )
-    return (
-        files.filter(F.col("language").isin(*LANGUAGES) & F.contains(F.col("content"), F.lit("import")))
-        .select(
-            "file_id",
-            "project",
-            "path",
-            "language",
-            F.explode(F.regexp_extract_all(masked(F.col("content")), F.lit(IMPORT), F.lit(0))).alias("statement"),
-        )
-        .select(
-            "file_id",
-            "project",
-            "path",
-            "language",
-            shown(F.regexp_extract(statement, r"""(["'])([^"'\n]*)\1$""", 2)).alias("import_path"),
-            F.nullif(F.array_join(names, ", "), F.lit("")).alias("import_name"),
-            F.lit("import").alias("import_type"),
-        )
+    path = shown(F.regexp_extract(statement, r"""(["'])([^"'\n]*)\1$""", 2))
+    return _import(path, F.nullif(F.array_join(names, ", "), F.lit("")), "import")
+
+
+def _requires(files: DataFrame) -> DataFrame:
+    # Only files with such a call go through the windows.
+    calling = files.filter(F.contains(F.col("content"), F.lit("require")))
+    return _placed(calling).filter(F.col("statement").isNull()).select("file_id", "project", "path", "language", F.inline(_required()))
+
+
+def _es_imports(files: DataFrame) -> DataFrame:
+    """``import`` statements, found on the whole text because they often span lines."""
+    found = files.filter(F.col("language").isin(*LANGUAGES) & F.contains(F.col("content"), F.lit("import"))).select(
+        "file_id",
+        "project",
+        "path",
+        "language",
+        F.explode(F.regexp_extract_all(masked(F.col("content")), F.lit(IMPORT), F.lit(0))).alias("statement"),
     )
+    return found.select("file_id", "project", "path", "language", F.inline(F.array(_imported(F.col("statement")))))
 
 
 def script_imports(files: DataFrame) -> DataFrame:
     """``import`` statements and ``require`` calls of script files."""
     return _es_imports(files).unionByName(_requires(files))
+
+
+def script_rows(files: DataFrame) -> DataFrame:
+    """Symbols and imports of script files in one pass, as rows of ``tagged``: each text is masked once."""
+    some = lambda rows, default: F.coalesce(rows, F.array().cast(default))
+    symbols = F.transform(F.when(_may_declare(), _declarations()), tagged_symbol)
+    statement = F.when(F.col("statement").isNotNull(), F.array(_imported(F.col("statement"))))
+    imports = F.transform(F.coalesce(statement, _required()), tagged_import)
+    rows = F.concat(some(symbols, TAGGED), some(imports, TAGGED))
+    return _placed(files).select("file_id", "project", "path", "language", F.inline(rows))
