@@ -42,23 +42,30 @@ def filter_kept(
     return filter_excluded(kept, names, suffixes)
 
 
+def readable(corpus: DataFrame) -> DataFrame:
+    """The rows of a corpus or listing that are files: those without an ``error``, where there is that column."""
+    return corpus.filter(F.col("error").isNull()) if "error" in corpus.columns else corpus
+
+
+def unreadable(corpus: DataFrame) -> DataFrame:
+    """``(project, path)`` of the files and folders that could not be read."""
+    if "error" not in corpus.columns:
+        return corpus.select("project", "path").limit(0)
+    return corpus.filter(F.col("error").isNotNull()).select("project", "path")
+
+
 def for_project(df: DataFrame, project: str | None, projects: DataFrame | None = None) -> DataFrame:
     """Rows of one project, given by name or folder path; all rows for ``None``.
 
-    The project is looked up first by a filter that keeps one row at most, so the
-    broadcast is of one name whatever the number of projects.
+    The name is looked up first, as a single value that the scan gets as its filter: a stored table
+    ordered by project is read only where the project is.
     """
     if not project:
         return df
     if projects is None:
         return df.filter(F.col("project") == project)
-    named = (
-        projects.filter((F.col("name") == project) | (F.col("folder_path") == project))
-        .orderBy(F.col("folder_path"))
-        .limit(1)
-        .select(F.col("name").alias("project"))
-    )
-    return df.join(F.broadcast(named), "project", "left_semi")
+    named = projects.filter((F.col("name") == project) | (F.col("folder_path") == project))
+    return df.filter(F.col("project") == named.agg(F.min_by("name", "folder_path")).scalar())
 
 
 def require_project(projects: DataFrame, project: str) -> None:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.functions.paths import file_id, file_name
-from lineloom.operators.corpus import filter_kept, index_files
+from lineloom.operators.corpus import filter_kept, index_files, readable, unreadable
 from lineloom.plans.index import Index, index_of_files
 
 TABLES = ("files", "symbols", "imports", "postings")
@@ -48,12 +48,17 @@ def below(files: DataFrame, folders: DataFrame) -> DataFrame:
 
 def changes_of_scan(scan: DataFrame, files: DataFrame, prune: bool = False) -> DataFrame:
     """The scan as a change feed against the index: ``add``, ``change``, and with
-    ``prune`` also ``unlink`` for indexed files that are gone."""
+    ``prune`` also ``unlink`` for indexed files that are gone.
+
+    Rows of the scan with an ``error`` are no files: what the index has under their path, and below it, stays as it was.
+    """
+    failed = unreadable(scan)
+    scan = readable(scan)
     diff = diff_files(scan, files).select(
-        file_id(F.col("project"), F.col("path")).alias("file_id"), "status"
+        file_id(F.col("project"), F.col("path")).alias("file_id"), "project", "path", "status"
     )
     keyed = scan.withColumn("file_id", file_id(F.col("project"), F.col("path")))
-    changed = keyed.join(diff.filter(F.col("status").isin("new", "changed")), "file_id").select(
+    changed = keyed.join(diff.filter(F.col("status").isin("new", "changed")).select("file_id", "status"), "file_id").select(
         "project",
         "path",
         F.when(F.col("status") == "new", "add").otherwise("change").alias("action"),
@@ -64,7 +69,11 @@ def changes_of_scan(scan: DataFrame, files: DataFrame, prune: bool = False) -> D
     )
     if not prune:
         return changed
-    gone = files.join(diff.filter(F.col("status") == "missing"), "file_id", "left_semi").select(
+    missing = diff.filter(F.col("status") == "missing").drop("status")
+    key = file_id(F.col("project"), F.col("path")).alias("file_id")
+    hidden = below(missing, failed).select("file_id").unionByName(failed.select(key))
+    missing = missing.join(hidden, "file_id", "left_anti")
+    gone = files.join(missing, "file_id", "left_semi").select(
         "project",
         "path",
         F.lit("unlink").alias("action"),

@@ -4,7 +4,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
-from lineloom.operators.corpus import index_files
+from lineloom.operators.corpus import index_files, readable
 from lineloom.operators.derive import extract_imports, extract_symbols
 from lineloom.operators.postings import build_postings
 
@@ -13,7 +13,8 @@ from lineloom.operators.postings import build_postings
 class Index:
     """Tables of ``lineloom.schemas``; ``projects`` and ``runs`` may be missing.
 
-    ``fold_accents`` says how the postings were cut, so that query texts are cut alike.
+    ``fold_accents`` says how the postings were cut, so that query texts are cut alike. ``narrow`` is
+    a stored copy of ``files`` without the bodies, if there is one.
     """
 
     files: DataFrame
@@ -23,8 +24,16 @@ class Index:
     projects: DataFrame | None = None
     runs: DataFrame | None = None
     fold_accents: bool = True
+    narrow: DataFrame | None = None
+
+    @property
+    def names(self) -> DataFrame:
+        """``files`` without the bodies."""
+        return self.files.drop("content") if self.narrow is None else self.narrow
 
     def with_tables(self, **tables: DataFrame) -> "Index":
+        if "files" in tables:
+            tables.setdefault("narrow", None)
         return replace(self, **tables)
 
 
@@ -41,5 +50,5 @@ def index_of_files(files: DataFrame, fold_accents: bool = True, **more: DataFram
 
 
 def build_index(corpus: DataFrame, fold_accents: bool = True, **more: DataFrame) -> Index:
-    """Index over a corpus ``(project, path, content, last_modified, file_size)``."""
-    return index_of_files(index_files(corpus), fold_accents, **more)
+    """Index over a corpus ``(project, path, content, last_modified, file_size)``; rows with an ``error`` are no files."""
+    return index_of_files(index_files(readable(corpus)), fold_accents, **more)

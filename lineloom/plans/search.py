@@ -12,28 +12,23 @@ from lineloom.operators.match import ALL_FIELDS, CONTENT, match_all
 from lineloom.plans.index import Index
 
 
-# Up to this many rows, the files chosen by a limit are sent to every task.
-BROADCAST_ROWS = 10_000
-
-
 def _first_matches(
     index: Index, query: str | DataFrame, fields: Sequence[str], limit: int, project: str | None
 ) -> DataFrame:
     """The first matching files by project and path; file bodies are not read.
 
-    Keys and names decide which files are shown; only then are the heads of those few
-    files picked up, so what is shuffled stays narrow.
+    Only keys meet the matches. The few that are shown, as many as the limit says, are then single values
+    for the scan: a stored table in order of projects is read for them only where they lie.
     """
     matches = query
     if isinstance(query, str):
         matches = match_all(index.postings, query_terms(query, index.fold_accents), fields)
-    names = for_project(index.files.select("file_id", "project", "path"), project, index.projects)
+    names = for_project(index.names.select("file_id", "project", "path"), project, index.projects)
     first = names.join(matches, "file_id", "left_semi").orderBy("project", "path").limit(limit)
-    chosen = first.select("file_id")
-    if limit <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    rows = index.files.drop("content").join(chosen, "file_id", "left_semi")
-    return rows.orderBy("project", "path").limit(limit)
+    shown = first.agg(F.min("project").alias("low"), F.max("project").alias("high"), F.collect_list("file_id").alias("ids"))
+    low, high, ids = (shown.select(c).scalar() for c in ("low", "high", "ids"))
+    within = F.col("project").isNull() | ((F.col("project") >= low) & (F.col("project") <= high))
+    return index.names.filter(within & F.array_contains(ids, F.col("file_id"))).orderBy("project", "path").limit(limit)
 
 
 def search_code(

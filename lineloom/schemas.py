@@ -35,6 +35,8 @@ FILES = _struct(
     "file_id binary, project string, path string, language string, last_modified timestamp,"
     " file_size bigint, content_length bigint, head string, content string"
 )
+#: What listings and searches need of ``files``, stored once more without the bodies.
+NAMES = T.StructType([f for f in FILES.fields if f.name != "content"])
 SYMBOLS = _struct(
     "file_id binary, project string, path string, language string, name string, type string,"
     " line int, column int, scope string"
@@ -43,6 +45,8 @@ IMPORTS = _struct(
     "file_id binary, project string, path string, language string, import_path string,"
     " import_name string, import_type string"
 )
+#: Symbols and imports as one pass finds them.
+CODE = T.StructType([T.StructField("table", T.StringType()), *SYMBOLS.fields, *IMPORTS.fields[4:]])
 POSTINGS = _struct(
     "file_id binary, project string, field string, term string, pos int"
 )

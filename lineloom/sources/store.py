@@ -1,6 +1,8 @@
 """An index on storage, as plain parquet.
 
-``<path>/<table>/segment=<n>`` holds what run ``n`` wrote. A run adds rows and, in
+``<path>/<table>/segment=<n>`` holds what run ``n`` wrote. Files, symbols and imports lie in ranges of project and path, in
+that order and in small row groups, so that a lookup reads little; ``names`` repeats files without their bodies for
+listings and searches. Symbols and imports are written by one pass, as ``code/segment=<n>/table=<table>``. A run adds rows and, in
 ``removed``, the keys of the files it replaces or deletes in earlier segments, so its
 cost follows the change and not the index. One row in ``<path>/runs``, appended last,
 makes a run visible; readers never see half of one, and what a failed run left behind is
@@ -18,7 +20,8 @@ from pyspark.sql import types as T
 
 from lineloom import schemas
 from lineloom.functions.paths import file_id
-from lineloom.operators.corpus import filter_kept, index_files
+from lineloom.operators.corpus import filter_kept, index_files, readable, unreadable
+from lineloom.operators.derive import extract_all
 from lineloom.operators.maintain import (
     TABLES,
     add_project,
@@ -29,14 +32,16 @@ from lineloom.operators.maintain import (
     update_projects,
     upserts_of,
 )
-from lineloom.plans.index import Index, index_of_files
+from lineloom.operators.postings import build_postings
+from lineloom.operators.ranges import into_ranges, range_bounds
+from lineloom.plans.index import Index
 from lineloom.plans.stats import project_stats
 from lineloom.sources.tree import read_bodies
 
 SCHEMAS = {
     "files": schemas.FILES,
-    "symbols": schemas.SYMBOLS,
-    "imports": schemas.IMPORTS,
+    "names": schemas.NAMES,
+    "code": schemas.CODE,
     "postings": schemas.POSTINGS,
     "removed": schemas.REMOVED,
     "projects": schemas.PROJECTS,
@@ -44,7 +49,12 @@ SCHEMAS = {
 # Text behind one range of postings. Corpora of many terabytes are better indexed in
 # several runs, which keeps the number of ranges in one shuffle moderate.
 RANGE_BYTES = 256 << 20
+# Row groups of files and names, and of symbols and imports.
+ROW_GROUP = {"files": 8 << 20, "names": 2 << 20, "code": 2 << 20, "postings": 32 << 20}
+# Text that is tokenised for the bounds of one range of postings, and the part files it is taken from.
+SAMPLE_BYTES, SAMPLE_FILES = 64 << 10, 32
 SEGMENT = T.StructField("segment", T.LongType())
+CODE = ("symbols", "imports")
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -73,13 +83,22 @@ def _last(runs: DataFrame) -> tuple[int, int]:
 
 
 def _table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    schema = T.StructType([*SCHEMAS[table].fields, SEGMENT])
+    folder = "code" if table in CODE else table
+    schema = T.StructType([*SCHEMAS[folder].fields, SEGMENT])
     try:
-        return spark.read.schema(schema).parquet(f"{path}/{table}")
+        rows = spark.read.schema(schema).parquet(f"{path}/{folder}")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        rows = spark.createDataFrame([], schema)
+    return rows.filter(F.col("table") == table) if folder == "code" else rows
+
+
+def _stored(spark: SparkSession, path: str, table: str, segment: int) -> DataFrame:
+    """One table of one segment."""
+    folder = "code" if table in CODE else table
+    rows = spark.read.schema(SCHEMAS[folder]).parquet(f"{path}/{folder}/segment={segment}")
+    return rows.filter(F.col("table") == table) if folder == "code" else rows
 
 
 def _next_segment(spark: SparkSession, path: str) -> tuple[int, int]:
@@ -117,7 +136,7 @@ def read_index(spark: SparkSession, path: str, fold_accents: bool = True) -> Ind
         if last > base:
             replaced = (rows["file_id"] == removed["file_id"]) & (F.col("segment") < F.col("removed_in"))
             rows = rows.join(removed, replaced, "left_anti")
-        return rows.select(*SCHEMAS[name].names)
+        return rows.select(*COLUMNS[name])
 
     projects = _table(spark, path, "projects").filter(F.col("segment") <= last)
     newest = projects.agg(F.max("segment")).scalar()
@@ -126,46 +145,90 @@ def read_index(spark: SparkSession, path: str, fold_accents: bool = True) -> Ind
         projects=projects.filter(F.col("segment") == newest).drop("segment"),
         runs=runs,
         fold_accents=fold_accents,
+        narrow=table("names"),
     )
 
 
-def _write(df: DataFrame, path: str, table: str, segment: int, partitions: int | None = None) -> None:
-    """Write one table of a segment, over whatever a failed run left there.
+COLUMNS = {"symbols": schemas.SYMBOLS.names, "imports": schemas.IMPORTS.names} | {t: s.names for t, s in SCHEMAS.items()}
 
-    ``partitions`` counts the ranges of postings, and spreads files that come in too few
-    pieces; symbols and imports are cut to even sizes at run time.
-    """
+
+def _write(df: DataFrame, path: str, table: str, segment: int) -> None:
+    """Write one table of a segment, over whatever a failed run left there."""
     rows = df.select(*SCHEMAS[table].names)
-    if table == "postings":
-        # By term, so a lookup opens few files; by file within a term, so that a term
-        # found in every file is cut into many ranges.
-        rows = rows.repartitionByRange(partitions or 1, "term", "file_id")
-        rows = rows.sortWithinPartitions("term", "file_id", "field", "pos")
-    elif table != "files":
-        rows = rows.hint("rebalance")
-    elif partitions:
-        rows = rows.repartition(partitions)
-    rows.write.mode("overwrite").parquet(f"{path}/{table}/segment={segment}")
-
-
-def _ranges(spark: SparkSession, path: str, segment: int) -> int:
-    """Number of posting ranges for the stored files of a segment, by their size."""
-    files = spark.read.schema(schemas.FILES).parquet(f"{path}/files/segment={segment}")
-    size = files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
+    writer = rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP.get(table, 128 << 20))
+    if table == "code":
+        writer = writer.partitionBy("table")
+    writer.parquet(f"{path}/{table}/segment={segment}")
+
+
+def _pieces(spark: SparkSession, size: int) -> int:
+    """Number of ranges for so much text."""
     return max(-(-size // RANGE_BYTES), min(spark.sparkContext.defaultParallelism, size >> 20), 1)
 
 
-def _write_derived(spark: SparkSession, path: str, segment: int, fold_accents: bool, partitions: int | None) -> None:
-    """Derive the other tables from the stored files of a segment."""
-    files = spark.read.schema(schemas.FILES).parquet(f"{path}/files/segment={segment}")
-    fresh = index_of_files(files, fold_accents)
-    partitions = partitions or _ranges(spark, path, segment)
-    for table in ("symbols", "imports", "postings"):
-        _write(getattr(fresh, table), path, table, segment, partitions)
+PLACE = ("project", "path")
+
+
+def _write_files(files: DataFrame, keys: DataFrame, path: str, segment: int, partitions: int | None) -> list[list]:
+    """Write the files of a segment in ranges of project and path, then their names; gives the bounds of the ranges.
+
+    ``keys(project, path, file_size)`` are about those of the files; only they are read for the bounds.
+    """
+    spark = files.sparkSession
+    keys = keys.select(*PLACE, F.col("file_size").cast("bigint"))
+    if partitions is None:
+        partitions = _pieces(spark, keys.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0])
+    bounds = range_bounds(keys, partitions, "file_size")
+    ranged = into_ranges(files, [F.col(c) for c in PLACE], bounds).sortWithinPartitions(*PLACE)
+    _write(ranged, path, "files", segment)
+    names = _stored(spark, path, "files", segment).drop("content")
+    _write(into_ranges(names, [F.col(c) for c in PLACE], _thinned(bounds, 8)).sortWithinPartitions(*PLACE), path, "names", segment)
+    return bounds
+
+
+def _thinned(bounds: list[list], times: int) -> list[list]:
+    """Bounds for a table that is so many times smaller; some for the cores stay."""
+    return bounds[:: max(min(times, len(bounds) // 8), 1)]
+
+
+def _posting_bounds(files: DataFrame, fold_accents: bool, ranges: int) -> list[list]:
+    """Bounds of term and file, from the tokens of some files of some of the part files, spread evenly."""
+    if ranges < 2:
+        return []
+    parts = sorted(files.inputFiles())
+    chosen = parts[:: -(-len(parts) // SAMPLE_FILES)]
+    some = files.sparkSession.read.schema(schemas.FILES).parquet(*chosen)
+    size = some.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
+    every = max(size // (ranges * SAMPLE_BYTES), 1)
+    some = some.filter(F.pmod(F.xxhash64("file_id"), F.lit(every)) == 0)
+    tokens = build_postings(some, fold_accents).select("term", F.hex("file_id").alias("file"), F.concat("field", F.col("pos").cast("string")).alias("at"))
+    return [bound[:2] for bound in range_bounds(tokens, ranges)]
+
+
+def _write_derived(spark: SparkSession, path: str, segment: int, fold_accents: bool, partitions: int | None, bounds: list[list]) -> None:
+    """Derive the other tables from the stored files of a segment, each file's text once for the code and once for the postings."""
+    files = _stored(spark, path, "files", segment)
+    code = into_ranges(extract_all(files), [F.col(c) for c in PLACE], _thinned(bounds, 4))
+    _write(code.sortWithinPartitions("table", *PLACE, "line", "import_path"), path, "code", segment)
+    if partitions is None:
+        partitions = _pieces(spark, files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0])
+    _write_postings(build_postings(files, fold_accents), _posting_bounds(files, fold_accents, partitions), path, segment)
+
+
+def _write_postings(postings: DataFrame, bounds: list[list], path: str, segment: int) -> None:
+    """Postings by term, so a lookup opens few files; by file within a term, so that a term found in every file is
+    cut into many ranges."""
+    ranged = into_ranges(postings, [F.col("term"), F.hex("file_id")], bounds)
+    _write(ranged.sortWithinPartitions("term", "file_id", "field", "pos"), path, "postings", segment)
 
 
 def _count(spark: SparkSession, path: str, table: str, segment: int) -> int:
-    return spark.read.schema(SCHEMAS[table]).parquet(f"{path}/{table}/segment={segment}").count()
+    return _stored(spark, path, table, segment).count()
+
+
+def _counts(spark: SparkSession, path: str, segment: int) -> dict[str, int]:
+    code = {r.table: r["count"] for r in spark.read.schema(schemas.CODE).parquet(f"{path}/code/segment={segment}").groupBy("table").count().collect()}
+    return {"indexed": _count(spark, path, "names", segment), **{t: code.get(t, 0) for t in CODE}}
 
 
 def write_index(index: Index, path: str, partitions: int | None = None) -> int:
@@ -173,15 +236,14 @@ def write_index(index: Index, path: str, partitions: int | None = None) -> int:
     spark = index.files.sparkSession
     started = datetime.now(timezone.utc)
     segment, _ = _next_segment(spark, path)
-    _write(index.files, path, "files", segment, partitions)
-    partitions = partitions or _ranges(spark, path, segment)
-    for table in TABLES[1:]:
-        _write(getattr(index, table), path, table, segment, partitions)
+    bounds = _write_files(index.files, index.names, path, segment, partitions)
+    code = [getattr(index, t).withColumn("table", F.lit(t)) for t in CODE]
+    code = into_ranges(code[0].unionByName(code[1], allowMissingColumns=True), [F.col(c) for c in PLACE], _thinned(bounds, 4))
+    _write(code.sortWithinPartitions("table", *PLACE, "line", "import_path"), path, "code", segment)
+    _write_postings(index.postings, _posting_bounds(_stored(spark, path, "files", segment), index.fold_accents, len(bounds) + 1), path, segment)
     if index.projects is not None:
         _write(index.projects, path, "projects", segment)
-    counts = {t: _count(spark, path, t, segment) for t in ("files", "symbols", "imports")}
-    counts["indexed"] = counts.pop("files")
-    log_run(spark, path, segment, segment, started_at=started, **counts)
+    log_run(spark, path, segment, segment, started_at=started, **_counts(spark, path, segment))
     return segment
 
 
@@ -195,24 +257,40 @@ def index_corpus(
 ) -> int:
     """Index a whole corpus as a new base, the way to store a first index.
 
-    The files are written first and everything else is derived from that copy, so a
-    costly scan runs once. ``partitions`` spreads the files when the corpus comes in
-    fewer pieces than there are cores; a large corpus needs no such shuffle. ``rule`` says
+    ``corpus`` has the files, or is a listing of ``list_trees``, whose bodies are then read. Keys and sizes are read first,
+    for the ranges; the bodies once, and everything else is derived from the stored copy. Rows with an ``error`` are counted as failed
+    and not indexed. ``partitions`` is the number of ranges, by size if not given. ``rule`` says
     which files are held, as for ``filter_kept``; later runs take the same.
     """
     spark = corpus.sparkSession
     started = datetime.now(timezone.utc)
     segment, _ = _next_segment(spark, path)
-    _write(index_files(filter_kept(corpus, **rule)), path, "files", segment, partitions)
-    _write_derived(spark, path, segment, fold_accents, partitions)
+    if "content" not in corpus.columns:
+        corpus = _staged(corpus, path, "listing")
+    failed = unreadable(corpus).count() if "error" in corpus.columns else 0
+    kept = filter_kept(readable(corpus), **rule)
+    size = F.col("file_size") if "file_size" in corpus.columns else F.octet_length("content")
+    keys = kept.select(*PLACE, size.alias("file_size"))
+    listed = "content" not in corpus.columns
+    if listed:
+        kept = read_bodies(kept, partitions)
+    bounds = _write_files(index_files(readable(kept)), keys, path, segment, partitions)
+    _write_derived(spark, path, segment, fold_accents, partitions, bounds)
     if projects is not None:
         _write(projects, path, "projects", segment)
-    counts = {t: _count(spark, path, t, segment) for t in ("files", "symbols", "imports")}
-    counts["indexed"] = counts.pop("files")
-    log_run(spark, path, segment, segment, started_at=started, **counts)
+    counts = _counts(spark, path, segment)
+    if listed:
+        failed += keys.count() - counts["indexed"]
+    log_run(spark, path, segment, segment, started_at=started, failed=failed, **counts)
     return segment
 
 
+def _staged(df: DataFrame, path: str, name: str) -> DataFrame:
+    """Rows that a run needs several times, stored; the next run writes over them."""
+    df.write.mode("overwrite").parquet(f"{path}/staged/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/staged/{name}")
+
+
 def compact_index(spark: SparkSession, path: str, partitions: int | None = None) -> int:
     """Fold all segments of an index into one."""
     return write_index(read_index(spark, path), path, partitions)
@@ -221,7 +299,7 @@ def compact_index(spark: SparkSession, path: str, partitions: int | None = None)
 def clear_index(spark: SparkSession, path: str) -> None:
     """Empty files, symbols, imports and text index; projects stay."""
     segment, _ = _next_segment(spark, path)
-    for table in TABLES:
+    for table in ("files", "names", "code", "postings"):
         _write(spark.createDataFrame([], SCHEMAS[table]), path, table, segment)
     log_run(spark, path, segment, segment)
 
@@ -248,11 +326,11 @@ def commit_changes(
     segment, base = _next_segment(spark, path)
     touched = changes.select(file_id(F.col("project"), F.col("path")).alias("file_id")).distinct()
     _write(touched, path, "removed", segment)
-    _write(upserts_of(latest_changes(changes), **(rule or {})), path, "files", segment, partitions)
-    _write_derived(spark, path, segment, fold_accents, partitions)
-    counts = {"indexed": _count(spark, path, "files", segment), **counts}
-    counts |= {t: _count(spark, path, t, segment) for t in ("symbols", "imports")}
-    log_run(spark, path, segment, base, run_id, started, **counts)
+    keys = changes.select(*PLACE, (F.col("file_size") if "file_size" in changes.columns else F.octet_length("content")).alias("file_size"))
+    bounds = _write_files(upserts_of(latest_changes(changes), **(rule or {})), keys, path, segment, partitions)
+    _write_derived(spark, path, segment, fold_accents, partitions, bounds)
+    found = _counts(spark, path, segment)
+    log_run(spark, path, segment, base, run_id, started, **{**counts, **found, "indexed": counts.get("indexed", found["indexed"])})
     return segment
 
 
@@ -262,7 +340,7 @@ def remove_stored_project(spark: SparkSession, path: str, project: str) -> int:
     index = read_index(spark, path)
     segment, base = _next_segment(spark, path)
     name = F.broadcast(project_names(index.projects, project))
-    _write(index.files.join(name, "project", "left_semi"), path, "removed", segment)
+    _write(index.names.join(name, "project", "left_semi"), path, "removed", segment)
     rest = index.projects.join(name, F.col("name") == F.col("project"), "left_anti")
     _write(rest, path, "projects", segment)
     log_run(spark, path, segment, base, started_at=started)
@@ -292,9 +370,12 @@ def reindex_all(
     segment, base = _next_segment(spark, path)
     if "error" not in scan.columns:
         scan = scan.withColumn("error", F.lit(None).cast("string"))
+    if "content" not in scan.columns:
+        # Listed once: what follows must not see different states of the trees.
+        scan = _staged(scan, path, "listing")
     failed = F.col("error").isNotNull()
     kept = filter_kept(scan.filter(~failed), **rule)
-    known = diff_files(scan.select("project", "path", "last_modified"), index.files)
+    known = diff_files(scan.select("project", "path", "last_modified"), index.names)
     wanted = kept.select("project", "path").withColumn("kept", F.lit(True))
     troubled = scan.filter(failed).select("project", "path").withColumn("failed", F.lit(True))
     keyed = lambda df, *more: df.select(file_id(F.col("project"), F.col("path")).alias("file_id"), *more)
@@ -308,17 +389,16 @@ def reindex_all(
         .when((F.col("status") == "missing") | F.col("kept"), F.col("status"))
         .otherwise("missing")
     )
-    staged = f"{path}/diff/segment={segment}"
-    diff.select("file_id", "project", "path", status.alias("status")).write.mode("overwrite").parquet(staged)
-    diff = spark.read.parquet(staged)
+    diff = _staged(diff.select("file_id", "project", "path", status.alias("status")), path, "diff")
 
     fresh = kept.withColumn("file_id", file_id(F.col("project"), F.col("path"))).join(
         diff.filter(F.col("status").isin("new", "changed")).select("file_id"), "file_id", "left_semi"
     )
+    keys = fresh.select(*PLACE, "file_size")
     if "content" not in scan.columns:
-        fresh = read_bodies(fresh, partitions).filter(F.col("error").isNull())
-    _write(index_files(fresh), path, "files", segment, partitions)
-    stored = spark.read.schema(schemas.FILES).parquet(f"{path}/files/segment={segment}").select("file_id")
+        fresh = readable(read_bodies(fresh, partitions))
+    bounds = _write_files(index_files(fresh), keys, path, segment, partitions)
+    stored = _stored(spark, path, "names", segment).select("file_id")
     removed = stored
     if prune:
         missing = diff.filter(F.col("status") == "missing").select("file_id", "project", "path")
@@ -326,32 +406,24 @@ def reindex_all(
         hidden = below(missing, diff.filter(F.col("status") == "failed").select("project", "path"))
         removed = removed.unionByName(missing.join(hidden, "file_id", "left_anti").select("file_id"))
     _write(removed, path, "removed", segment)
-    _write_derived(spark, path, segment, fold_accents, partitions)
+    _write_derived(spark, path, segment, fold_accents, partitions, bounds)
 
     by_status = {r.status: r["count"] for r in diff.groupBy("status").count().collect()}
     due = by_status.get("new", 0) + by_status.get("changed", 0)
-    indexed = stored.count()
-    counts = {
-        "indexed": indexed,
-        "skipped": by_status.get("skipped", 0),
-        "failed": by_status.get("failed", 0) + due - indexed,
-        **{t: _count(spark, path, t, segment) for t in ("symbols", "imports")},
-    }
+    counts = _counts(spark, path, segment)
+    counts |= {"skipped": by_status.get("skipped", 0), "failed": by_status.get("failed", 0) + due - counts["indexed"]}
     projects = index.projects
     for name, folder in (folders or {}).items():
         projects = add_project(projects, folder, name)
-    gone_now = spark.read.schema(schemas.REMOVED).parquet(f"{path}/removed/segment={segment}")
+    gone_now = _stored(spark, path, "removed", segment)
     after = {
-        t: getattr(index, t)
-        .join(gone_now, "file_id", "left_anti")
-        .select("project")
-        .unionByName(spark.read.schema(SCHEMAS[t]).parquet(f"{path}/{t}/segment={segment}").select("project"))
-        for t in ("files", "symbols")
+        t: getattr(index, t).join(gone_now, "file_id", "left_anti").select("project").unionByName(_stored(spark, path, t, segment).select("project"))
+        for t in ("names", "symbols")
     }
     touched = diff.filter(F.col("status") != "missing").select("project")
     if folders:
         touched = touched.unionByName(spark.createDataFrame([(n,) for n in folders], "project string"))
-    stats = project_stats(after["files"], after["symbols"])
+    stats = project_stats(after["names"], after["symbols"])
     _write(update_projects(projects, stats, datetime.now(timezone.utc), touched), path, "projects", segment)
     log_run(spark, path, segment, base, started_at=started, **counts)
     return segment
