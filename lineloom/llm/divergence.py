@@ -29,7 +29,7 @@ TOP = 50
 BLOCK_TERMS = 100_000
 ROUND_BYTES = 64 << 20
 #: Sources and terms that are compared by one task at a time.
-TILE, TILE_TERMS = 64, 4096
+TILE, TILE_TERMS = 64, 512
 #: Bytes of text that are streamed at once, and counts a task keeps before it hands them on.
 STREAM_BYTES, HELD = 4 << 20, 1 << 20
 
