@@ -46,8 +46,10 @@ def _named(documents: DataFrame, text_col: str, lang_col: str, source_col: str)
 
 def vocabulary(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``(lang, term, ordinal, size)``: terms in at least ``min_docs`` documents of a language in their order."""
-    terms = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    found = rows.select("lang", F.explode(F.array_distinct(terms)).alias("term")).groupBy("lang", "term").count()
+    low = lambda term: F.when(term.rlike("[A-Z]"), F.translate(term, UPPER, LOWER)).otherwise(term)
+    # Lower-cased term by term: changing single letters of a whole text costs more than finding its terms.
+    terms = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))), low))
+    found = rows.select("lang", F.explode(terms).alias("term")).groupBy("lang", "term").count()
     return placed(found.filter(F.col("count") >= min_docs).select("lang", "term"), "lang", ["term"], "ordinal")
 
 
