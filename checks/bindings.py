@@ -121,6 +121,21 @@ def code(spark: SparkSession, sf: str) -> DataFrame:
             )
         ),
         F.array(F.lit("}"), text("function total_", owner, "() {"), F.lit("  const sum = 0;"), F.lit("}")),
+        # Statements that go on in the next line, a list, and functions by default and by assignment.
+        F.array(
+            F.lit("const"),
+            text("  late_", owner, " = ", owner, ";"),
+            F.lit("function"),
+            text("  run_", owner, "() { const inner = 1; }"),
+            text("const far_", owner, " = require("),
+            text("  'far/", owner, "'"),
+            text("), near_", owner, " = [1, 2],"),
+            text("  last_", owner, " = { k: 1 };"),
+            text("export default function main_", owner, "() {"),
+            F.lit("  let own;"),
+            F.lit("}"),
+            text("handler_", owner, " = function () { var no = 1; };"),
+        ),
     )
     php = F.concat(
         F.array(

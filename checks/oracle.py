@@ -60,7 +60,13 @@ code AS (SELECT *, {LANGUAGE} AS language, CAST(strlen(content) AS BIGINT) AS fi
     'import {{ base }} from ''./nation_' || n_nationkey || ''';' || chr(10) || 'const config_' || owner
     || ' = require(''config/' || owner || ''');' || chr(10) || 'export class C' || owner
     || ' extends Base {{' || chr(10) || js || chr(10) || '}}' || chr(10) || 'function total_' || owner
-    || '() {{' || chr(10) || '  const sum = 0;' || chr(10) || '}}' FROM owned
+    || '() {{' || chr(10) || '  const sum = 0;' || chr(10) || '}}' || chr(10)
+    || 'const' || chr(10) || '  late_' || owner || ' = ' || owner || ';' || chr(10)
+    || 'function' || chr(10) || '  run_' || owner || '() {{ const inner = 1; }}' || chr(10)
+    || 'const far_' || owner || ' = require(' || chr(10) || '  ''far/' || owner || '''' || chr(10)
+    || '), near_' || owner || ' = [1, 2],' || chr(10) || '  last_' || owner || ' = {{ k: 1 }};' || chr(10)
+    || 'export default function main_' || owner || '() {{' || chr(10) || '  let own;' || chr(10) || '}}' || chr(10)
+    || 'handler_' || owner || ' = function () {{ var no = 1; }};' FROM owned
   UNION ALL
   SELECT n_name, 'supplier_' || owner || '_' || block || '.php', owner,
     '<?php' || chr(10) || 'require_once ''nation_' || n_nationkey || '.php'';' || chr(10)
@@ -87,6 +93,7 @@ def line_symbols(name: str, language: str, type_: str, pattern: str, at: str, mo
   WHERE language = '{language}' AND regexp_matches(trimmed, '{pattern}'){more})"""
 
 
+#: The line patterns of symbols, imports and includes, from here to the rendered script files.
 PY_FUNCTION = line_symbols("py_function", "python", "function", r"^def\s+(\w+)\s*\(", "'def'")
 PY_CLASS = line_symbols("py_class", "python", "class", r"^class\s+(\w+)\s*[\(:]", "'class'")
 PY_VARIABLE = line_symbols(
@@ -103,8 +110,7 @@ PHP_CLASS = line_symbols(
 )
 PHP_CONSTANT = line_symbols("php_constant", "php", "constant", r"^(?:const|public\s+const)\s+(\w+)\s*=", "")
 
-#: The line patterns of imports and includes, here and below.
-_IMPORT = r"^(?:from\s+([\w.]+)\s+)?import\s+([\w,*\s]+)".replace(r"\s]", BLANK[1:]).replace(r"\s", BLANK)
+_IMPORT = r"^(?:from\s+([\w.]+)\s+)?import\s+([\w\s,*]+)".replace(r"[\w\s", rf"[\w{BLANK[1:-1]}").replace(r"\s", BLANK)
 PY_IMPORT = f"""
 py_import AS (SELECT project, path, language, regexp_extract(trimmed, '{_IMPORT}', 1) AS import_path,
   nullif(regexp_replace(regexp_extract(trimmed, '{_IMPORT}', 2), '{BLANK}+$', ''), '') AS import_name,
@@ -133,13 +139,24 @@ js_symbols AS (
       PARTITION BY o_custkey, o_orderkey // 1048576 ORDER BY o_orderkey), 2, 'C' || o_custkey
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT project, path, 'javascript', 'total_' || owner, 'function', 5 + 3 * n, 0, NULL FROM js_at
-  UNION ALL SELECT project, path, 'javascript', 'sum', 'variable', 6 + 3 * n, 8, 'total_' || owner FROM js_at)"""
+  UNION ALL SELECT project, path, 'javascript', 'sum', 'variable', 6 + 3 * n, 8, 'total_' || owner FROM js_at
+  UNION ALL SELECT project, path, 'javascript', 'late_' || owner, 'variable', 9 + 3 * n, 2, NULL FROM js_at
+  UNION ALL SELECT project, path, 'javascript', 'run_' || owner, 'function', 10 + 3 * n, 0, NULL FROM js_at
+  UNION ALL SELECT project, path, 'javascript', 'inner', 'variable', 11 + 3 * n, 13 + len('run_' || owner), 'run_' || owner FROM js_at
+  UNION ALL SELECT project, path, 'javascript', 'far_' || owner, 'variable', 12 + 3 * n, 6, NULL FROM js_at
+  UNION ALL SELECT project, path, 'javascript', 'near_' || owner, 'variable', 14 + 3 * n, 3, NULL FROM js_at
+  UNION ALL SELECT project, path, 'javascript', 'last_' || owner, 'variable', 15 + 3 * n, 2, NULL FROM js_at
+  UNION ALL SELECT project, path, 'javascript', 'main_' || owner, 'function', 16 + 3 * n, 15, 'export' FROM js_at
+  UNION ALL SELECT project, path, 'javascript', 'own', 'variable', 17 + 3 * n, 6, 'export' FROM js_at
+  UNION ALL SELECT project, path, 'javascript', 'handler_' || owner, 'function', 19 + 3 * n, 0, NULL FROM js_at)"""
 JS_IMPORTS = """
 js_imports AS (
   SELECT n_name AS project, 'customer_' || owner || '_' || block || '.js' AS path, 'javascript' AS language,
     './nation_' || n_nationkey AS import_path, 'base' AS import_name, 'import' AS import_type FROM owned
   UNION ALL SELECT n_name, 'customer_' || owner || '_' || block || '.js', 'javascript', 'config/' || owner,
-    'config_' || owner, 'require' FROM owned)"""
+    'config_' || owner, 'require' FROM owned
+  UNION ALL SELECT n_name, 'customer_' || owner || '_' || block || '.js', 'javascript', 'far/' || owner,
+    'far_' || owner, 'require' FROM owned)"""
 
 SYMBOLS = ",".join(
     [CODE, LINES % "code", PY_FUNCTION, PY_CLASS, PY_VARIABLE, PHP_FUNCTION, PHP_CLASS, PHP_CONSTANT, JS_SYMBOLS]

@@ -16,9 +16,12 @@ What a block does to the declarations inside it is its *tag*:
 
 Columns are 0-based for these languages, as in the reference.
 
-Known differences to a full syntax tree: files with syntax errors are still read; a name
-on a later line than its keyword is missed, and so is what follows a template inside a
-template; JSX text with lone brackets or braces can hide what follows.
+A statement that goes on in the next line before its name is known (``const`` at the end of a line, a ``require`` call
+over several) is put together first: its line ends become soft ones, which no line is cut at and which
+only count for places.
+
+Known differences to a full syntax tree: files with syntax errors are still read; what follows a template inside a
+template is missed; JSX text with lone brackets or braces can hide what follows.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -60,7 +63,9 @@ ASSIGNED = (
     rf"^\s*({NAME})\s*=\s*(?:async\b\s*)?(?:function\b|\([^()]*\)\s*(?::[^=]*)?=>|{NAME}\s*=>)"
 )
 # A line that ends like this is carried on by the next one.
-CARRIED_ON = r"(?:=>|[=*/%&|^?:,.~]|(?<!\+)\+|(?<!-)-)\s*$"
+CARRIED_ON = (
+    r"(?:=>|[=*/%&|^?:,.~]|(?<!\+)\+|(?<!-)-|(?<![\w$.])(?:extends|implements|instanceof|typeof|new|in))\s*$"
+)
 ARROW_BODY = r"=>\s*\{$"
 MEMBER = (
     r"^\s*(?:(?:public|private|protected|static|async|readonly|override|abstract|declare|get"
@@ -68,6 +73,13 @@ MEMBER = (
 )
 REQUIRE = r"""=\s*require\(\s*(["'])([^"'\n]+)\1\s*\)\s*[,;]?\s*$"""
 IMPORT = r"""(?m)(?:^|;)[ \t\r]*+import\b[\w$*{},\s]*?(?:\bfrom\s*)?(["'])[^"'\n]*\1"""
+# A line end inside a statement that is put together: a blank for every pattern.
+SOFT = "\u000b"
+OPEN_WORD = r"(?<![\w$.])(?:const|let|var|function\s*\*?|class|export|default)"
+OPEN_CALL = r"(?<![\w$.])require\s*\(\s*(?:\"[^\"\n]*\"|'[^'\n]*')\s*\)"
+# Words and calls that may be cut by a line end, other words, and what is between.
+TOKEN = rf"{OPEN_WORD}\s*\n\s*(?=[\w$*])|{OPEN_CALL}|[\w$]+|[^\w$]+"
+MAY_BE_CUT = rf"{OPEN_WORD}\s*\n|(?<![\w$.])require\s*\(\s*\n|(?<![\w$.])require\s*\([^()\n]*\n\s*\)"
 WORTH_KEEPING = rf"""[(){{}}\[\];=:]|^\s*(?:export|function|class|const|let|var|async|abstract|static)\b|^\s*{NAME}\s*$"""
 
 
@@ -90,6 +102,16 @@ def masked(content: Column) -> Column:
     )
 
 
+def put_together(masked: Column) -> Column:
+    """Masked text in which no statement is cut before its name, or inside a ``require`` call, by a line end."""
+    plain = F.when(F.contains(masked, F.lit(SOFT)), F.translate(masked, SOFT, " ")).otherwise(masked)
+    whole = F.transform(
+        F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0)),
+        lambda part: F.when(part.rlike(r"\A[a-z][\s\S]*\n"), F.translate(part, "\n", SOFT)).otherwise(part),
+    )
+    return F.when(plain.rlike(MAY_BE_CUT), F.array_join(whole, "")).otherwise(plain)
+
+
 def _count(piece: Column, characters: str) -> Column:
     return F.length(piece) - F.length(F.translate(piece, characters, ""))
 
@@ -107,7 +129,7 @@ def _pieces(files: DataFrame) -> DataFrame:
     imported = lambda found: F.struct(F.lit(0).alias("line"), F.lit(";").alias("text"), found.alias("statement"))
     statements = F.when(F.contains("masked", F.lit("import")), F.regexp_extract_all("masked", F.lit(IMPORT), F.lit(0)))
     statements = F.coalesce(statements, F.array().cast("array<string>"))
-    parts = F.concat(F.transform(text.file_lines(F.col("masked")), line), F.transform(statements, imported))
+    parts = F.concat(F.transform(text.file_lines(put_together(F.col("masked"))), line), F.transform(statements, imported))
     found = (
         scripts.select(*kept, F.inline(parts))
         .select(*kept, "line", "statement", F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)).alias("parts"))
@@ -130,6 +152,7 @@ def _placed(files: DataFrame) -> DataFrame:
         .withColumn("brackets", _count(piece, "([") - _count(piece, ")]"))
         .select(
             "*",
+            (F.col("line") + F.coalesce(F.sum(_count(piece, SOFT)).over(before), F.lit(0))).alias("row"),
             F.coalesce(F.sum(F.length(piece)).over(in_line), F.lit(0)).alias("offset"),
             F.coalesce(
                 F.sum(F.when(F.col("end") == "{", 1).when(F.col("end") == "}", -1).otherwise(0)).over(before),
@@ -142,6 +165,10 @@ def _placed(files: DataFrame) -> DataFrame:
         )
     )
 
+    # Characters of the line before a piece: those after the last soft line end in it.
+    gone = F.when(piece.contains(SOFT), F.col("offset") + F.length(piece) - F.length(F.substring_index(piece, SOFT, -1)))
+    started = started.withColumn("offset", F.col("offset") - F.coalesce(F.max(gone).over(in_line), F.lit(0)))
+
     body = F.when(F.col("end") == "", piece).otherwise(F.expr("substring(piece, 1, length(piece) - 1)"))
     blank = F.trim(F.translate(body, "\t\r", "  ")).eqNullSafe("")
     goes_on = blank | body.rlike(r"^\s*(?:extends|implements)\b")
@@ -150,13 +177,14 @@ def _placed(files: DataFrame) -> DataFrame:
     starts = (F.col("inside") == 0) & ((~goes_on & ~F.col("carried")) | ((F.col("previous") != "") & ~after_type))
     name_f, name_c = F.regexp_extract("piece", FUNCTION, 1), F.regexp_extract("piece", CLASS, 1)
     is_f, is_c = piece.rlike(FUNCTION), piece.rlike(CLASS)
+    prefix = F.length(F.regexp_extract("piece", r"^\s*(?:export\s+(?:default\s+)?)?", 0))
     head = F.struct(
         F.when(is_f, "F").when(is_c, "C").otherwise("B").alias("kind"),
         F.nullif(F.when(is_f, name_f).otherwise(name_c), F.lit("")).alias("name"),
         piece.rlike(r"^\s*export\s+default\b").alias("by_default"),
         piece.rlike(r"^\s*export\b").alias("exported"),
-        F.col("line").alias("line"),
-        (F.col("offset") + F.length(F.regexp_extract("piece", r"^\s*(?:export\s+(?:default\s+)?)?", 0))).alias("column"),
+        _row_at(prefix).alias("line"),
+        _column_at(prefix).alias("column"),
         piece.rlike(VARIABLE).alias("variable"),
     )
     # The statement that a piece belongs to, among those of its depth; a list of declarators
@@ -203,6 +231,17 @@ def _placed(files: DataFrame) -> DataFrame:
     ).drop("nearest", "level", "answers", "hidden")
 
 
+def _row_at(chars: Column) -> Column:
+    """The line of a place so many characters into the piece."""
+    return F.col("row") + _count(F.substring(F.col("piece"), F.lit(1), chars), SOFT)
+
+
+def _column_at(chars: Column) -> Column:
+    """The column of a place so many characters into the piece."""
+    before = F.substring(F.col("piece"), F.lit(1), chars)
+    return F.when(before.contains(SOFT), F.length(F.substring_index(before, SOFT, -1))).otherwise(F.col("offset") + chars)
+
+
 def _declarators() -> Column:
     """Parts of a list of declarators that a piece has: cut at commas outside of brackets; else null.
 
@@ -260,7 +299,7 @@ def _declarations() -> Column:
     assigned = F.regexp_extract("piece", ASSIGNED, 1)
     function = F.when(
         F.col("starts") & visible & (assigned != ""),
-        row(assigned, F.lit("function"), F.col("line"), F.col("offset") + indent, scope),
+        row(assigned, F.lit("function"), _row_at(indent), _column_at(indent), scope),
     )
     named = F.regexp_extract("piece", MEMBER, 1)
     member = F.when(
@@ -268,11 +307,12 @@ def _declarations() -> Column:
         row(
             named,
             F.when(named == "constructor", "constructor").otherwise("method"),
-            F.col("line"),
-            F.col("offset") + indent,
+            _row_at(indent),
+            _column_at(indent),
             scope,
         ),
     )
+    at = lambda name: F.regexp_instr(piece, F.concat(F.lit(r"(?<![\w$.])\Q"), name, F.lit(r"\E(?![\w$])"))) - 1
     names = F.filter(
         F.transform(
             _declarators(),
@@ -287,10 +327,8 @@ def _declarations() -> Column:
             lambda name: row(
                 name,
                 F.lit("variable"),
-                F.col("line"),
-                F.col("offset")
-                + F.regexp_instr(piece, F.concat(F.lit(r"(?<![\w$.])\Q"), name, F.lit(r"\E(?![\w$])")))
-                - 1,
+                _row_at(at(name)),
+                _column_at(at(name)),
                 export_scope(F.coalesce(F.when(~F.col("starts") | F.col("comma"), F.col("list.exported")), piece.rlike(r"^\s*export\b"))),
             ),
         ),

@@ -311,3 +311,39 @@ def test_script_shapes_without_bounds(files):
         assert [(r.name, r.scope) for r in rows if r.path == path] == expected, path
     imports = script_imports(files(("p", "list.js", cases["list.js"][0]))).collect()
     assert sorted((r.import_path, r.import_name) for r in imports) == [("a", "a"), ("b", "b")]
+
+
+def test_statements_over_lines(files):
+    """Keywords and calls that a line end cuts, with blank lines and comments between; places are those of the text."""
+    text = (
+        "const\n  a = 1;\nlet // why\n\n  b = 2, c = 3;\nfunction\nfoo() {\n  var\n    d = 1;\n}\n"
+        "const late = require(\n  'late'\n), more = require('more');\nconst { x } = require(\n 'apart' );\n"
+        "export\ndefault\nclass Shop {\n  sell() {}\n}\nexport\nconst e = 1; let\nf = 2; const g = 3;\nobj.default\nh = function () {};\n"
+        "const i = mine(\n  'not'\n);\nfunction*\n  gen() {}\nclass\nBox extends\n Base { open() {} }\n"
+    )
+    found = files(("p", "a.js", text), ("p", "b.ts", text), ("p", "vt.js", "let\u000bq = 1;\nlet r = 2;\n"))
+    symbols = sorted((r.path, r.line, r.column, r.name, r.type, r.scope) for r in script_symbols(found).collect())
+    want = [
+        (2, 2, "a", "variable", None),
+        (5, 2, "b", "variable", None),
+        (5, 9, "c", "variable", None),
+        (6, 0, "foo", "function", None),
+        (9, 4, "d", "variable", "foo"),
+        (11, 6, "late", "variable", None),
+        (13, 3, "more", "variable", None),
+
+        (22, 6, "e", "variable", "export"),
+        (23, 0, "f", "variable", None),
+        (23, 13, "g", "variable", None),
+        (25, 0, "h", "function", None),
+        (26, 6, "i", "variable", None),
+        (29, 0, "gen", "function", None),
+        (31, 0, "Box", "class", None),
+        (33, 8, "open", "method", "Box"),
+    ]
+    got = [s[1:] for s in symbols if s[0] == "a.js" and s[3] != "Shop"]
+    assert got == want, got
+    assert [s[1:] for s in symbols if s[0] == "b.ts" and s[3] != "Shop"] == want
+    assert [s[1:4] for s in symbols if s[0] == "vt.js"] == [(1, 4, "q"), (2, 4, "r")]
+    imports = sorted((r.import_path, r.import_name) for r in script_imports(found.filter("path = 'a.js'")).collect())
+    assert imports == [("apart", None), ("late", "late"), ("more", "more")]
