@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 PARTS = 256
 
 
+def hot_of(counts: DataFrame, key: str, rows: str, parts: int = PARTS) -> DataFrame:
+    """``(key, splits)`` of the keys with more than one part of the rows, from a table of counts."""
+    total = counts.agg(F.sum(rows)).scalar()
+    splits = F.ceil(F.col(rows) * parts / total).cast("int")
+    return counts.filter(F.col(key).isNotNull() & (F.col(rows) * parts > total)).select(key, splits.alias("__splits"))
+
+
 def hot_keys(large: DataFrame, key: str, parts: int = PARTS) -> DataFrame:
     """``(key, splits)`` of the keys with more than one part of the rows: fewer than ``parts`` rows, whatever the table.
 
     Counts are combined inside each task before the shuffle.
     """
-    counts = large.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__rows"))
-    total = counts.agg(F.sum("__rows")).scalar()
-    splits = F.ceil(F.col("__rows") * parts / total).cast("int")
-    return counts.filter(F.col("__rows") * parts > total).select(key, splits.alias("__splits"))
+    return hot_of(large.groupBy(key).agg(F.count("*").alias("__rows")), key, "__rows", parts)
 
 
 def split_join(small: DataFrame, large: DataFrame, key: str, spread: Column, parts: int = PARTS, hot: DataFrame | None = None) -> DataFrame:

@@ -185,3 +185,47 @@ def test_context(index):
     assert rows[0].snippet.endswith("...") and len(rows[0].snippet) == 303
     halves = search.get_context(index, "handle", limit=3).collect()
     assert [r.kind for r in halves] == ["file_match", "symbol_match"]
+
+
+def test_first_rows_are_those_of_the_nested_loop(spark):
+    """Needles that nearly every value has, rare ones and long digits; many files that import several matching paths."""
+    rng = random.Random(8)
+    digits = [str(10**11 + rng.randrange(10**9)) for _ in range(40)]
+    names = [rng.choice(["Alpha", "data", "x"]) + rng.choice(["/", ".", "a/b", ""]) + rng.choice(digits + ["", "lib/Util"]) for _ in range(400)]
+    rows = [(b"", f"p{rng.randrange(3)}", f"f{rng.randrange(60)}.py", "python", rng.choice(names), rng.choice([None, "n"]), "import") for _ in range(900)]
+    imports = spark.createDataFrame(rows, "file_id binary, project string, path string, language string, import_path string, import_name string, import_type string").cache()
+    needles = ["/", "a", "", "A/B", digits[0], digits[1][3:9], "lib/util", "nowhere", "alpha"]
+    targets = spark.createDataFrame([(n,) for n in needles], "target string")
+    symbols = imports.selectExpr(
+        "file_id", "project", "path", "language", "import_path AS name", "coalesce(import_name, 'm') AS type", "length(path) AS line", "1 AS column", "'' AS scope"
+    )
+    for limit in (1, 7, None):
+        got = bulk.bulk_dependents(imports, targets, limit, salts=4).collect()
+        hits = bulk.bulk_find_symbol(symbols, targets.withColumnRenamed("target", "needle"), limit, salts=4).collect()
+        for needle in needles:
+            order = lambda r: (r[0], r[1], r[3] is not None, r[3] or "")
+            want = sorted({(p, f, lang, name) for _, p, f, lang, path, name, _ in rows if needle.lower() in path.lower()}, key=order)[:limit]
+            assert sorted((tuple(r)[1:] for r in got if r.target == needle), key=order) == want, (needle, limit)
+            place = lambda r: (r.type, r.path, r.project, r.line, r.column, r.name)
+            want = sorted(place(r) for r in symbols.filter(F.contains(F.lower("name"), F.lit(needle.lower()))).collect())[:limit]
+            assert sorted(place(r) for r in hits if r.needle == needle) == want, (needle, limit)
+
+
+def test_a_common_term_is_cut(spark):
+    """Every file has one term, and one has most of the rows: no task of the join gets the lot."""
+    postings = spark.range(40_000).selectExpr("CAST(CAST(id AS STRING) AS BINARY) AS file_id", "'p' AS project", "'content' AS field", "IF(id % 10 < 9, 'the', concat('t', id % 500)) AS term", "1 AS pos")
+    from lineloom.operators.hot import hot_keys, split_join
+
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.createDataFrame([("the",), ("t5",), ("t77",)], "term string")
+        # Splits as large as the parts that the other keys come in.
+        joined = split_join(asked, postings, "term", F.col("file_id"), 256, hot_keys(postings, "term", 256))
+        sizes = sorted(r["count"] for r in joined.filter("term = 'the'").groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == 36_000 and len(sizes) >= 30 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    finally:
+        for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
