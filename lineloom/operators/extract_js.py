@@ -5,7 +5,7 @@ or a line end. Strings, comments, templates and regex literals are masked first,
 every character position. Running sums and ``last(..., ignorenulls)`` over the pieces of
 a file then give brace depth, bracket depth, the statement a brace belongs to and the
 block open at each depth. All those windows share one shuffle by file; within it there is a sort
-for the order of the file and one each for its lines, depths and levels.
+for the order of the file and one each for its depths and levels.
 
 What a block does to the declarations inside it is its *tag*:
 
@@ -142,7 +142,6 @@ def _placed(files: DataFrame) -> DataFrame:
     """Pieces with column, depths, the head of their statement and the blocks around."""
     in_file = W.partitionBy("file_id").orderBy("line", "part")
     before = in_file.rowsBetween(W.unboundedPreceding, -1)
-    in_line = W.partitionBy("file_id", "line").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
 
     piece = F.col("piece")
     end = F.substring(piece, -1, 1)
@@ -153,7 +152,8 @@ def _placed(files: DataFrame) -> DataFrame:
         .select(
             "*",
             (F.col("line") + F.coalesce(F.sum(_count(piece, SOFT)).over(before), F.lit(0))).alias("row"),
-            F.coalesce(F.sum(F.length(piece)).over(in_line), F.lit(0)).alias("offset"),
+            F.coalesce(F.sum(F.length(piece)).over(before), F.lit(0)).alias("chars"),
+            F.lag(F.when(piece.contains(SOFT), F.length(F.substring_index(piece, SOFT, -1)))).over(in_file).alias("after_soft"),
             F.coalesce(
                 F.sum(F.when(F.col("end") == "{", 1).when(F.col("end") == "}", -1).otherwise(0)).over(before),
                 F.lit(0),
@@ -165,9 +165,10 @@ def _placed(files: DataFrame) -> DataFrame:
         )
     )
 
-    # Characters of the line before a piece: those after the last soft line end in it.
-    gone = F.when(piece.contains(SOFT), F.col("offset") + F.length(piece) - F.length(F.substring_index(piece, SOFT, -1)))
-    started = started.withColumn("offset", F.col("offset") - F.coalesce(F.max(gone).over(in_line), F.lit(0)))
+    # Characters of its line before a piece: since the line or the last soft line end began.
+    begun = F.when(F.col("part") == 0, F.col("chars")).otherwise(F.col("chars") - F.col("after_soft"))
+    since = F.last(begun, ignorenulls=True).over(in_file.rowsBetween(W.unboundedPreceding, 0))
+    started = started.withColumn("offset", F.col("chars") - since).drop("chars", "after_soft")
 
     body = F.when(F.col("end") == "", piece).otherwise(F.expr("substring(piece, 1, length(piece) - 1)"))
     blank = F.trim(F.translate(body, "\t\r", "  ")).eqNullSafe("")
@@ -191,12 +192,14 @@ def _placed(files: DataFrame) -> DataFrame:
     # goes on after a comma, also after a block.
     at_depth = W.partitionBy("file_id", "depth").orderBy("line", "part").rowsBetween(W.unboundedPreceding, 0)
     comma = (F.col("inside") == 0) & (piece.rlike(r"^\s*,") | F.col("after_comma"))
-    headed = started.withColumns({"starts": starts, "comma": comma}).withColumns(
+    # One column for both windows, so that the patterns are tried once.
+    own_head = started.withColumns({"starts": starts, "comma": comma}).withColumn("own_head", F.when(F.col("starts"), head))
+    headed = own_head.withColumns(
         {
-            "head": F.last(F.when(F.col("starts"), head), ignorenulls=True).over(at_depth),
-            "list": F.last(F.when(F.col("starts") & ~F.col("comma"), head), ignorenulls=True).over(at_depth),
+            "head": F.last("own_head", ignorenulls=True).over(at_depth),
+            "list": F.last(F.when(~F.col("comma"), F.col("own_head")), ignorenulls=True).over(at_depth),
         }
-    )
+    ).drop("own_head")
 
     is_open = F.col("end") == "{"
     own = F.when((F.col("inside") + F.col("brackets") == 0), F.col("head"))
