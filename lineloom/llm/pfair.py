@@ -2,13 +2,14 @@
 
 Each source is a queue of blocks of rows. With weight w, block k (from 1) may come from slot
 floor((k-1)/w) on and must come before slot ceil(k/w). Taking in each slot the released block with
-the earliest deadline keeps every source within less than one block of its share at any time. With
-whole shares of a fixed period the schedule repeats, so it is made once for one period, and every
-block's slot follows from its number by arithmetic. Whole shares are not quite the weights; ``exact``
-takes release times and deadlines from the weights themselves, for all blocks of the mix.
+the earliest deadline keeps every source within less than one block of its share at any time. Release times and
+deadlines come from the weights themselves, in whole numbers, for all blocks of the mix. Where a
+period is given, the weights are rounded to whole shares of it: the schedule then repeats, is made once for one
+period, and every block's slot follows from its number by arithmetic.
 """
 
 import heapq
+import math
 from collections.abc import Iterator
 from itertools import islice
 
@@ -22,8 +23,9 @@ from lineloom.llm.saved import saved
 
 PERIOD = 1000
 BLOCK = 32
-#: Weights, where none are given: the source's rows to this power.
+#: Weights, where none are given: the square root of the source's rows, times this and then rounded down.
 TEMPER = 0.5
+FINE = 1 << 10
 #: Rows of one source ranked by one task, about.
 BUCKET = 2_000
 #: Exact weights are whole numbers that add up to about this.
@@ -67,6 +69,11 @@ def whole(weights: dict) -> dict:
     return {s: max(1, round(w / total * SCALE)) for s, w in weights.items()}
 
 
+def tempered(sizes: dict) -> dict:
+    """The square roots of the sizes as whole numbers, ``FINE`` times as large."""
+    return {s: math.isqrt(n * FINE * FINE) for s, n in sizes.items()}
+
+
 def timetable(parts: dict, blocks: dict) -> Iterator[tuple]:
     """``(source, block from 0, slot)`` for all blocks, earliest deadline first, weights being whole numbers.
 
@@ -106,7 +113,7 @@ def _exact_slots(counted: DataFrame, weights: dict | None, block: int) -> DataFr
             sizes |= zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
         if not sizes:
             return
-        parts = whole(_named(sizes, weights))
+        parts = tempered(sizes) if weights is None else whole(_named(sizes, weights))
         rows = timetable(parts, {s: -(-n // block) for s, n in sizes.items()})
         while part := list(islice(rows, 10_000)):
             names, numbers, slots = zip(*part)
@@ -139,18 +146,17 @@ def mixed(
     weight named. Without ``weights``, a source's is its number of rows to the power ``TEMPER``.
     Repeated rows take a rank each.
 
-    A source's share of a period (``PERIOD``, if none is given) is one slot and its weight's part of those
-    left over. With ``exact`` the share is the weight itself, as a whole number out of about ``SCALE``, and the
-    deviation from the given weights is less than one block. More sources than ``PERIOD`` are mixed that way too;
-    more than a period that is given are refused.
+    The share is the weight as a whole number, out of about ``SCALE`` if weights are given, whatever the number of sources; only
+    names, numbers and slots of blocks go through the one task that makes the schedule. With a ``period`` the
+    share is one slot of it and the weight's part of those left over; more sources than it has slots are refused, and ``exact``
+    undoes it. An empty table gives no rows; texts are not looked at.
     """
     spark = documents.sparkSession
     name = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     counted = saved(documents.select(name.alias("__mix_name")).groupBy("__mix_name").count())
     n_sources, largest = counted.agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0))).head()
-    exact = exact or (period is None and n_sources > PERIOD)
-    period = PERIOD if period is None else period
+    exact = exact or period is None
     if not exact:
         sizes = {r["__mix_name"]: r["count"] for r in counted.limit(period + 1).collect()}
         parts = shares(_named(sizes, weights), period) if sizes else {}
@@ -174,9 +180,8 @@ def mixed(
         counts = saved(found.groupBy(*keys).agg(listed.alias("__mix_slots")))
     else:
         counts = counts.drop("count")
-    small = digits < 3 and n_sources <= PERIOD
     own = Window.partitionBy("__mix_name", "__mix_bucket").orderBy("__mix_order", F.col(id_col))
-    ranked = rows.withColumn("__mix_own", F.row_number().over(own) - 1).join(F.broadcast(counts) if small else counts, ["__mix_name", "__mix_bucket"])
+    ranked = rows.withColumn("__mix_own", F.row_number().over(own) - 1).join(counts, ["__mix_name", "__mix_bucket"])
     rank = F.col("__mix_before") + F.col("__mix_own")
     if exact:
         ranked = ranked.withColumn("__mix_rank", rank)
@@ -201,25 +206,25 @@ def in_order(documents: DataFrame, **options) -> DataFrame:
     return spread.select(*documents.columns)
 
 
-#: The same in DuckDB's SQL, the schedule as a recursive query; a null source or id is not provided for.
+#: The same in DuckDB's SQL, the schedule as a recursive query.
 SQL = f"""
-WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-x AS (SELECT source, ({PERIOD} - (SELECT count(*) FROM n)) * sqrt(n) / (SELECT sum(sqrt(n)) FROM n) AS exact FROM n),
-r AS (SELECT source, 1 + floor(exact)::BIGINT AS low, row_number() OVER (ORDER BY round(exact - floor(exact), 9) DESC, source) AS place FROM x),
-a AS (SELECT source, low + (place <= {PERIOD} - (SELECT sum(low) FROM r))::BIGINT AS share, row_number() OVER (ORDER BY source) AS i FROM r),
-l AS (SELECT list(share ORDER BY i) AS a, list(i ORDER BY i) AS every FROM a),
+WITH RECURSIVE n AS (SELECT coalesce('s' || source, 'n') AS name, count(*) AS n FROM documents GROUP BY source),
+a AS (SELECT name, floor(sqrt(n * {FINE * FINE}.0))::HUGEINT AS share, (n + {BLOCK - 1}) // {BLOCK} AS blocks, row_number() OVER (ORDER BY name) AS i FROM n),
+l AS (SELECT list(share ORDER BY i) AS a, list(blocks ORDER BY i) AS b, list(i ORDER BY i) AS every, sum(share)::HUGEINT AS total FROM a),
 e AS (
-  SELECT 0::BIGINT AS slot, list_transform(a, lambda q: 0::BIGINT) AS done, 0::BIGINT AS taken FROM l
+  SELECT 0::BIGINT AS slot, list_transform(a, lambda q: 0::BIGINT) AS done, 0::BIGINT AS taken, -1::BIGINT AS spot FROM l
   UNION ALL
-  SELECT slot + 1, list_transform(every, lambda i: done[i] + (i = best)::BIGINT), best FROM (
-    SELECT slot, done, every, list_position(d, list_min(d))::BIGINT AS best FROM (
-      SELECT slot, done, every, list_transform(every, lambda i: CASE WHEN done[i] < a[i] AND done[i] * {PERIOD} // a[i] <= slot
-             THEN ((done[i] + 1) * {PERIOD} + a[i] - 1) // a[i] ELSE 1000000000 END) AS d
-      FROM e, l WHERE slot < {PERIOD}))
+  SELECT spot + 1, list_transform(every, lambda i: done[i] + (i = best)::BIGINT), best, spot FROM (
+    SELECT done, every, spot, list_position(d, list_min(d))::BIGINT AS best FROM (
+      SELECT done, every, spot, list_transform(every, lambda i: CASE WHEN done[i] < b[i] AND done[i] * total // a[i] <= spot
+             THEN ((done[i] + 1) * total + a[i] - 1) // a[i] ELSE 1000000000000000000000000000000::HUGEINT END) AS d
+      FROM (SELECT done, every, a, b, total, greatest(slot, list_min(list_transform(list_filter(every, lambda i: done[i] < b[i]),
+             lambda i: done[i] * total // a[i])))::BIGINT AS spot
+        FROM e, l WHERE list_sum(done) < list_sum(b))))
 ),
-s AS (SELECT source, share, slot - 1 AS slot, done[i] - 1 AS k FROM e JOIN a ON e.taken = a.i),
-k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS rank FROM documents)
-SELECT k.doc_id, k.source, k.rank::BIGINT AS rank, s.share::BIGINT AS share,
-       (rank // {BLOCK} // s.share * {PERIOD} + s.slot)::BIGINT AS slot
-FROM k JOIN s ON k.source = s.source AND s.k = (rank // {BLOCK}) % s.share
+s AS (SELECT name, share, spot AS slot, done[i] - 1 AS k FROM e JOIN a ON e.taken = a.i),
+k AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS name, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS rank
+  FROM documents)
+SELECT k.doc_id, k.source, k.rank::BIGINT AS rank, s.share::BIGINT AS share, s.slot::BIGINT AS slot
+FROM k JOIN s ON k.name = s.name AND s.k = rank // {BLOCK}
 """

@@ -162,3 +162,19 @@ def test_layouts(spark):
     out = chat.format_records(frame, "record", "id").orderBy("id").collect()
     assert [r.n_turns for r in out] == [2, 2, 2, 2, 2, 0, 0, 0, 1]
     assert len({r.formatted for r in out[:5]}) == 1 and len({r.fingerprint for r in out[:6]}) == 6
+
+
+@pytest.mark.parametrize("sources", [20, 999, 1001])
+def test_registered_mix_stays_within_a_block_of_the_weights(spark, sources):
+    """A hot source and many small ones: the default weights are kept to whatever the number of sources."""
+    rows = 40 * sources
+    frame = spark.range(rows).selectExpr("id AS doc_id", f"concat('s', IF(id % 3 = 0, 0, id % {sources})) AS source")
+    out = pfair.mixed(frame, block=1).select("source", "rank", "slot", "share").toPandas()
+    weights = out.groupby("source").share.first() / out.groupby("source").share.first().sum()
+    sizes = out.groupby("source").size()
+    assert (abs(weights / weights["s1"] - (sizes / sizes["s1"]) ** 0.5) < 0.01).all() and len(out) == rows == out.slot.nunique()
+    # Until the first source runs out each has had its weight of the slots so far, to less than a block.
+    last = out.groupby("source").slot.max().min()
+    early = out[out.slot <= last]
+    given = early["rank"].to_numpy() - early.slot.to_numpy() * weights[early.source].to_numpy()
+    assert abs(given).max() < 1 and abs(given + 1 - weights[early.source].to_numpy()).max() < 1
