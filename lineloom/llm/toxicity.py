@@ -150,9 +150,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = known.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     some = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64(id_col), id_col).limit(sample) for c in (0, 1)]
-    some = some[0].unionByName(some[1]).select(F.col(id_col).alias("_id"), F.col("toxic").alias("_toxic"))
-    texts = documents.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select("_id", text_col, "_toxic")
-    rows = [(r[1] or "", r[2]) for r in texts.dropDuplicates(["_id"]).collect()]
+    some = some[0].unionByName(some[1]).select(F.col(id_col).alias("id"), "toxic")
+    # Nothing but id and text: other columns of the documents may have any name.
+    own = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = own.join(F.broadcast(some), "id").select("id", "text", "toxic")
+    rows = [(r[1] or "", r[2]) for r in texts.dropDuplicates(["id"]).collect()]
     gold = np.array([y for _, y in rows], float)
     if not len(gold) or gold.min() == gold.max():
         model = Model(list(OPENING))

@@ -135,3 +135,14 @@ def test_one_row_of_each_group_of_copies_stays(spark):
     if simhash.fingerprint(a.encode()) == simhash.fingerprint(near.encode()):
         first = a
     assert sorted(got, key=str) == sorted([(1, first), (5, b), (None, c), (7, "one of its own"), (8, None)], key=str)
+
+
+def test_toxicity_with_clashing_columns(spark):
+    """Documents may have columns with any name; those of the operator, and of the labels, among them."""
+    rows = [(i, ("you vile scum " if i % 2 else "a kind word ") * 3 + str(i)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS _id", "'y' AS _toxic", "1 AS id", "2 AS toxic", "'z' AS score")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 60 and {r.predicted for r in got if r.doc_id % 2} == {1}
+    kept = toxicity.accepted(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id % 2 for r in kept.collect()} == {0}
