@@ -163,6 +163,23 @@ def debounce_settled(
     return debounce(times, gap).withColumnRenamed("events", "paths")
 
 
+def settled_in(sessions: DataFrame, changes: DataFrame, quiet: str, gap: str) -> DataFrame:
+    """The changes with which paths settled in the given sessions of ``debounce_settled``: one per path and session.
+
+    Changes of paths that were still being written are left for a later session.
+    """
+    # A path settles one microsecond before its quiet time is over.
+    quiets = F.unix_micros("ts") - _micros(quiet) + 1
+    paths = settle(changes, quiet).select(
+        "project", "path", "action", F.col("settled").alias("ts"), F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("content")
+    )
+    found = actions_in(sessions, paths, gap).select(
+        F.col("project").alias("of"), F.col("path").alias("of_path"), F.timestamp_micros(quiets).alias("of_ts")
+    )
+    same = F.col("project").eqNullSafe(F.col("of")) & (F.col("path") == F.col("of_path")) & (F.col("ts") == F.col("of_ts"))
+    return changes.join(found, same, "left_semi")
+
+
 def actions_in(sessions: DataFrame, changes: DataFrame, gap: str) -> DataFrame:
     """The last change of each path in each given session, with all its columns.
 

@@ -157,3 +157,54 @@ def test_maintain_index(spark, corpus, tmp_path):
     assert held() == sorted([*expected(rows[:half] + more), ("end", "end.py", "")])
     scan = flushed.files.select("project", "path", "content", "last_modified", "file_size")
     assert contents(flushed) == contents(build_index(scan))
+
+
+def test_settled_paths_are_committed_once(spark, corpus, tmp_path):
+    """A path that is written for some seconds counts when it is quiet, in every language of the index."""
+    source, index, checkpoint = (str(tmp_path / name) for name in ("feed", "index", "checkpoint"))
+    store.write_index(build_index(corpus(("one", "old.go", "package old\n"))), index)
+    writing = [("one", "long.go", "change", at(i), i, f"version {i}\n") for i in range(6)]
+    short = [("one", "short.py", "add", at(0.5), 10, "s = 1\n"), ("one", "debug.log", "add", at(1), 11, "no"), ("two", "old.go", "add", at(1), 12, "package two\n")]
+    late = [("one", "old.go", "unlink", at(4), 13, None)]
+
+    def go():
+        feed.maintain_index(spark, source, index, checkpoint, quiet="2 seconds", languages=None).awaitTermination()
+
+    def held():
+        files = store.read_index(spark, index).files
+        return {(r.project, r.path): r.content for r in files.filter("project <> 'end'").collect()}
+
+    write_feed(spark, source, writing + short + late, closing(1_000))
+    go()
+    write_feed(spark, source, closing(2_000), closing(3_000), closing(4_000))
+    go()
+    want = {("one", "long.go"): "version 5\n", ("one", "short.py"): "s = 1\n", ("two", "old.go"): "package two\n"}
+    assert held() == want
+    # One version of the path was ever stored.
+    files = spark.read.parquet(f"{index}/files").filter("path = 'long.go'")
+    assert [r.content for r in files.collect()] == ["version 5\n"]
+    runs = store.read_runs(spark, index).count()
+    go()
+    assert store.read_runs(spark, index).count() == runs and held() == want
+
+
+def test_settled_in_sessions(spark):
+    rows = events(120, 9)
+    batch = spark.createDataFrame(rows, CHANGES)
+    done = sessions.debounce_settled(batch, "2 seconds", "1 second")
+    got = sessions.settled_in(done, batch, "2 seconds", "1 second").select("project", "path", "ts").distinct().collect()
+    # Over a whole feed that is the last change before each quiet time.
+    want = {}
+    for project, path, _, ts, *_ in sorted(rows, key=lambda r: r[3]):
+        own = want.setdefault((project, path), [])
+        if own and ts - own[-1] <= timedelta(seconds=2):
+            own[-1] = ts
+        else:
+            own.append(ts)
+    last = {}
+    for row in done.collect():
+        for (project, path), times in want.items():
+            inside = [t for t in times if project == row.project and row.start <= t + timedelta(seconds=2, microseconds=-1) <= row.last]
+            if inside:
+                last.setdefault((project, path), []).append(max(inside))
+    assert sorted(map(tuple, got)) == sorted((p, f, t) for (p, f), times in last.items() for t in times)
