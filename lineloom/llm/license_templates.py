@@ -21,7 +21,7 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Public licence notices as templates.
+#: Public licence notices and texts as templates.
 TEMPLATES = {
     "gpl-3.0": "licensed under [the terms of] the gnu general public license [as published by the free software foundation] [either] version 3",
     "gpl-2.0": "licensed under [the terms of] the gnu general public license [as published by the free software foundation] [either] version 2",
@@ -32,6 +32,19 @@ TEMPLATES = {
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [the software] to deal in the software without restriction",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "all-rights-reserved": "all rights reserved",
+    "gpl-3.0-notice": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation [either] version 3",
+    "gpl-2.0-notice": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation [either] version 2",
+    "lgpl-3.0-notice": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation [either] version 3",
+    "lgpl-2.1-notice": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation [either] version 2 1",
+    "agpl-3.0-notice": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation [either] version 3",
+    "gnu-no-warranty": "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose [see the gnu [lesser] [affero] general public license for more details]",
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {1} mozilla org mpl 2 0",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {2} apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "mit-license-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall [the] {6} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc-text": "permission to use copy modify [and or] [and] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "bsd-3-clause": "neither the name of [the] {8} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "cc0-notice": "to the extent possible under law {8} has waived all copyright and related or neighboring rights to {8}",
 }
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 ANY = object()
@@ -146,6 +159,7 @@ def scan(
 ) -> DataFrame:
     """``(id, n_words, n_base, first_word, last_word, base_labels, labels, score)`` for every row.
 
+    An empty table gives no rows; a very long text is one task's row and read whole.
     ``n_base`` counts all places of base phrases, overlapping ones too; ``first_word`` and
     ``last_word`` are their least and greatest start. ``score`` is 1 where a template is accepted,
     0.5 where only a base phrase stands, else 0. A null text is empty; repeated rows stay repeated;

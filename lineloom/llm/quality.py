@@ -97,7 +97,7 @@ def verdict(text: Text, order: list[str], rules: dict[str, Callable[[Text], bool
 def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)`` for every row.
 
-    A null text has no words, so it fails the base rule. Repeated rows stay repeated, other
+    An empty table gives no rows; a very long text is one task's row and read whole. A null text has no words, so it fails the base rule. Repeated rows stay repeated, other
     columns are ignored. Only the order of the rules depends on the sample, never a result.
     """
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))

@@ -113,6 +113,7 @@ def token_counts(
 ) -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` for every row, and ``prefix_tokens`` if asked for.
 
+    An empty table gives no rows; a very long text is one task's row and counted whole.
     ``prefix_tokens[i]`` is the exact count of the first i characters of the normalised text. A null
     text counts as empty. Repeated rows stay repeated; other columns are ignored.
     """

@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -178,3 +180,36 @@ def test_registered_mix_stays_within_a_block_of_the_weights(spark, sources):
     early = out[out.slot <= last]
     given = early["rank"].to_numpy() - early.slot.to_numpy() * weights[early.source].to_numpy()
     assert abs(given).max() < 1 and abs(given + 1 - weights[early.source].to_numpy()).max() < 1
+
+
+def rendered(template, optional, filler):
+    """The wording of a template with or without its optional parts; mandatory words are marked with a star."""
+    out, depth = [], 0
+    for part in re.findall(r"\[|\]|\{\d+\}|[^\s\[\]{}]+", template):
+        if part in "[]":
+            depth += 1 if part == "[" else -1
+        elif part[0] == "{":
+            out += ["name"] * min(int(part[1:-1]), filler)
+        elif not depth or optional:
+            out.append(part if depth else part + "*")
+    return out
+
+
+def test_whole_notices(spark):
+    """Every notice is found with and without its optional parts, and not with one mandatory word changed."""
+    texts, want = [], {}
+    for label, template in license_templates.TEMPLATES.items():
+        for optional, filler in ((True, 9), (False, 0), (True, 1)):
+            words = rendered(template, optional, filler)
+            want[len(texts)] = (label, True)
+            texts.append("Copyright x. " + ", ".join(w.strip("*").upper() for w in words) + ". End")
+            must = [i for i, w in enumerate(words) if w.endswith("*")]
+            for at in {must[0], must[len(must) // 2], must[-1]}:
+                want[len(texts)] = (label, False)
+                texts.append("Copyright x. " + " ".join("changed" if i == at else w.strip("*") for i, w in enumerate(words)) + " End")
+    frame = documents(spark, texts)
+    for row in license_templates.scan(frame).collect():
+        label, there = want[row.doc_id]
+        assert (label in row.labels.split(",")) == there, (label, there, texts[row.doc_id])
+    columns, rows = by_sql(frame, license_templates.sql())
+    assert sorted([tuple(r) for r in license_templates.scan(frame).select(*columns).collect()], key=str) == rows
