@@ -126,11 +126,17 @@ def refresh(index: Index, scan: DataFrame, prune: bool = False, **rule) -> Index
 
 
 def add_project(projects: DataFrame, folder: str, name: str | None = None) -> DataFrame:
-    """Projects with one more folder; a folder that is registered stays as it is."""
+    """Projects with one more folder; a folder that is registered stays as it is.
+
+    A project is told apart by its name, which is the key of its rows in all tables. Where another folder
+    has that name already, the folder's whole path is taken, so that ``/a/app`` and ``/b/app`` stay apart.
+    """
     spark = projects.sparkSession
     folder = folder.rstrip("/") or "/"
+    wanted = F.coalesce(F.lit(name), file_name(F.lit(folder)))
+    taken = projects.filter((F.col("name") == wanted) & (F.col("folder_path") != folder)).agg(F.count("*")).scalar() > 0
     row = spark.range(1).select(
-        F.coalesce(F.lit(name), file_name(F.lit(folder))).alias("name"),
+        F.when(taken, folder).otherwise(wanted).alias("name"),
         F.lit(folder).alias("folder_path"),
         F.lit("pending").alias("status"),
         F.lit(0).cast("bigint").alias("file_count"),

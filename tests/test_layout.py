@@ -78,7 +78,7 @@ def test_lookups_read_little(spark, stored, corpus):
         (lookup.get_file(index.files, path), lookup.get_file(fresh.files, path), 1_600),
         (lookup.get_file(index.files, path, "project_1"), lookup.get_file(fresh.files, path, "project_1"), 300),
         (lookup.get_imports(index.imports, path), lookup.get_imports(fresh.imports, path), FILES // 4),
-        (lookup.get_imports(index.imports, path, "project_1"), lookup.get_imports(fresh.imports, path, "project_1"), 600),
+        (lookup.get_imports(index.imports, path, "project_1"), lookup.get_imports(fresh.imports, path, "project_1"), FILES // 12),
     ):
         rows, read = scanned(got)
         assert rows == want.collect() and rows and 0 < read <= few, read

@@ -194,3 +194,20 @@ def test_full_and_incremental_runs_agree_over_a_tree(spark, tmp_path):
     )
     store.reindex_all(spark, path, closed, prune=True)
     assert [r[0] for r in rows()] == ["sub/y.py"]
+
+
+def test_folders_of_one_name_stay_apart(spark, corpus):
+    empty = spark.createDataFrame([], PROJECTS)
+    projects = maintain.add_project(maintain.add_project(empty, "/a/app"), "/b/app/")
+    projects = maintain.add_project(maintain.add_project(projects, "/a/app"), "/c/lib", "app")
+    names = {r.folder_path: r.name for r in projects.collect()}
+    assert names == {"/a/app": "app", "/b/app": "/b/app", "/c/lib": "/c/lib"}
+    rows = [(names[f], "a.py", f"def of_{f[1]}():\n", NOON) for f in names]
+    index = build_index(corpus(*rows), projects=projects)
+    assert index.files.count() == 3
+    for left, gone in ((["/b/app", "/c/lib"], "/a/app"), (["/b/app", "/c/lib"], "app"), (["/a/app", "/c/lib"], "/b/app")):
+        after = maintain.remove_project(index, gone)
+        assert sorted(r.folder_path for r in after.projects.collect()) == left
+        assert contents(after) == contents(build_index(corpus(*[r for f, r in zip(names, rows) if f in left])))
+    found = stats.list_projects(projects).collect()
+    assert [(r.name, r.folder) for r in found] == [("/b/app", "/b/app"), ("/c/lib", "/c/lib"), ("app", "/a/app")]
