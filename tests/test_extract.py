@@ -1,6 +1,6 @@
 from lineloom.operators import extract
 from lineloom.operators.derive import extract_imports, extract_symbols
-from lineloom.operators.extract_js import script_imports, script_symbols
+from lineloom.operators.extract_js import script_imports, script_rows, script_symbols
 
 PYTHON = """# settings loader
 import os.path
@@ -347,3 +347,17 @@ def test_statements_over_lines(files):
     assert [s[1:4] for s in symbols if s[0] == "vt.js"] == [(1, 4, "q"), (2, 4, "r")]
     imports = sorted((r.import_path, r.import_name) for r in script_imports(found.filter("path = 'a.js'")).collect())
     assert imports == [("apart", None), ("late", "late"), ("more", "more")]
+
+
+def test_scripts_are_read_where_their_text_is(files):
+    """No shuffle, sort or window over the pieces: only the text's own row is needed."""
+    one = files(("p", "a.js", SCRIPT))
+    for rows in (script_symbols(one), script_imports(one), script_rows(one)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert not [step for step in ("Exchange", "Window", "Sort") if step in plan]
+
+
+def test_scripts_of_one_key_are_read_apart(files):
+    once = sorted(map(str, script_symbols(files(("p", "a.js", SCRIPT))).collect()))
+    twice = sorted(map(str, script_symbols(files(("p", "a.js", SCRIPT), ("p", "a.js", SCRIPT))).collect()))
+    assert twice == sorted(once * 2)
