@@ -1,6 +1,6 @@
 from lineloom.operators import extract
 from lineloom.operators.derive import extract_imports, extract_symbols
-from lineloom.operators.extract_js import script_imports, script_rows, script_symbols
+from lineloom.operators.extract_js import FUNCTION, script_imports, script_rows, script_symbols
 
 PYTHON = """# settings loader
 import os.path
@@ -361,3 +361,21 @@ def test_scripts_of_one_key_are_read_apart(files):
     once = sorted(map(str, script_symbols(files(("p", "a.js", SCRIPT))).collect()))
     twice = sorted(map(str, script_symbols(files(("p", "a.js", SCRIPT), ("p", "a.js", SCRIPT))).collect()))
     assert twice == sorted(once * 2)
+
+
+def test_imports_mask_each_text_once(files):
+    rows = script_imports(files(("p", "a.js", SCRIPT)))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+
+
+def test_heads_are_tried_once(spark, files):
+    """What the walk was told of a head is not looked for again in each row that has it around."""
+    shown = "spark.sql.debug.maxToStringFields"
+    spark.conf.set(shown, "1000")
+    try:
+        plan = script_symbols(files(("p", "a.js", SCRIPT)))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(shown)
+    after_walk = plan.split("ArrowEvalPython")[0]
+    assert FUNCTION in plan and f", {FUNCTION})" not in after_walk and f"RLIKE {FUNCTION}" not in after_walk
