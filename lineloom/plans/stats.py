@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineloom.operators.derive import extract_all
 from lineloom.plans.index import Index
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -10,14 +11,18 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 def index_stats(index: Index) -> DataFrame:
     """One row: files, symbols, imports, and the size of all content in MB."""
-    one = lambda df: df.agg(F.count("*")).scalar()
-    return index.files.agg(
-        F.count("*").alias("indexed_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes")
-    ).select(
-        "indexed_files",
-        one(index.symbols).alias("total_symbols"),
-        one(index.imports).alias("total_imports"),
-        F.round(F.col("bytes") / (1024 * 1024), 2).alias("size_mb"),
+    if index.derived:
+        # One pass over the texts for both.
+        found = extract_all(index.files).agg(*[F.count_if(F.col("table") == t).alias(f"total_{t}") for t in ("symbols", "imports")])
+    else:
+        symbols, imports = (
+            getattr(index, t).agg(F.count("*").alias(f"total_{t}")) for t in ("symbols", "imports")
+        )
+        found = symbols.crossJoin(imports)
+    files = index.files.agg(F.count("*").alias("indexed_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))
+    # One row each.
+    return files.crossJoin(found).select(
+        "indexed_files", "total_symbols", "total_imports", F.round(F.col("bytes") / (1024 * 1024), 2).alias("size_mb")
     )
 
 

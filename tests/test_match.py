@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lineloom.functions.text import phrase_terms
 from lineloom.operators import bulk, match
 from lineloom.operators.postings import build_postings
-from lineloom.plans import lookup, search
+from lineloom.plans import lookup, search, stats
 from lineloom.plans.index import build_index
 
 
@@ -229,3 +229,25 @@ def test_a_common_term_is_cut(spark):
         for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
             spark.conf.unset(key)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_bulk_lookup_derives_its_rows_once(spark, index):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    symbols = index.symbols.cache()
+    needles = spark.createDataFrame([("handle",), ("o",)], "needle string")
+    bulk.bulk_find_symbol(symbols.mapInArrow(run, symbols.schema), needles).collect()
+    assert seen.value == symbols.count()
+
+
+def test_statistics_of_a_derived_index_take_one_pass(index):
+    rows = stats.index_stats(index)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_walked(") == 1
+    one = rows.first()
+    assert (one.indexed_files, one.total_symbols, one.total_imports) == (4, index.symbols.count(), index.imports.count())
