@@ -1,23 +1,8 @@
 """Cutting lineage in the folder that all executors share."""
 
-import tempfile
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session: ``spark.checkpoint.dir`` if the cluster names one.
-
-    Only where neither the setting nor the context has a folder, and all runs on one machine, a
-    temporary one is made; a cluster must name one.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lineloom-"))
-    return context.getCheckpointDir()
+from lineloom.operators.saved import shared_folder
 
 
 def saved(frame: DataFrame) -> DataFrame:
