@@ -379,3 +379,20 @@ def test_heads_are_tried_once(spark, files):
         spark.conf.unset(shown)
     after_walk = plan.split("ArrowEvalPython")[0]
     assert FUNCTION in plan and f", {FUNCTION})" not in after_walk and f"RLIKE {FUNCTION}" not in after_walk
+
+
+def test_symbols_by_name_read_only_files_that_can_have_the_name(files):
+    from lineloom.operators.derive import extract_symbols_named
+
+    table = files(
+        ("p", "a.py", "def Total():\n    pass"),
+        ("p", "b.js", "const subtotal = 1;"),
+        ("p", "c.js", "const \\u0041x = 1;"),  # an escape is masked: the name is not in the text
+        ("p", "d.php", "function other() {"),
+        ("p", "e.md", "total = 1"),
+    )
+    every = extract_symbols(table)
+    for needle in ("total", "TOTAL", "__", "other", "to tal", ""):
+        found = sorted(r["name"] for r in extract_symbols_named(table, needle).collect())
+        assert found == sorted(r["name"] for r in every.collect() if needle.lower() in r["name"].lower()), needle
+    assert "__" in "".join(r["name"] for r in every.collect())

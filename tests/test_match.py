@@ -251,3 +251,33 @@ def test_statistics_of_a_derived_index_take_one_pass(index):
     assert plan.count("_walked(") == 1
     one = rows.first()
     assert (one.indexed_files, one.total_symbols, one.total_imports) == (4, index.symbols.count(), index.imports.count())
+
+
+def test_search_of_a_derived_index_makes_no_rows_of_tokens(spark, files):
+    from dataclasses import replace
+
+    from lineloom.functions.text import query_terms
+    from lineloom.plans.index import index_of_files
+    from lineloom.plans.search import get_context
+
+    derived = index_of_files(
+        files(
+            ("p", "a/order.js", "const total = 12;\nfunction orderTwelve() {}"),
+            ("p", "b.py", "order = 12\norder12 = 1"),
+            ("p", "c.py", "orders 12\nÉtat = 3"),
+            ("p", "c.py", "12 order"),  # a key that repeats counts as one file
+            ("p", "d.ts", r"const aorder = 1; // order 120"),
+            (None, "e.php", "12"),
+            ("p", "f.md", "order 12"),
+        )
+    )
+    rows = get_context(derived, "order")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(terms" not in plan
+    stored = replace(derived, derived=False)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(rows, get_context(stored, "order"))
+    for query in ("order 12", "État 12", "etat", "order 12 js", ""):
+        for fields in (match.CONTENT, match.ALL_FIELDS):
+            terms = query_terms(query)
+            assert same(match.match_texts(derived.files, terms, fields), match.match_all(derived.postings, terms, fields))
